@@ -50,6 +50,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; sorting beats numpy's hash-based ``unique`` many times over."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def word_hashes(vocab: pa.Array, seed: int = 0) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(w, seed) for w in vocab.to_pylist()), dtype=np.uint64, count=len(vocab))

@@ -193,7 +193,7 @@ class Pages:
         start = np.cumsum(n) - n
         for i in np.flatnonzero((n > 0) & (n < p.every)).tolist():
             picked.append(np.array([start[i] + x[start[i] : start[i] + n[i]].argmin()]))
-        pick = np.unique(np.concatenate(picked))
+        pick = common.distinct(np.concatenate(picked))
         self.x, self.row = x[pick], row[pick]
         self.at = at[pick] - w.start[self.row]
 

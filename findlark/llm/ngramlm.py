@@ -133,7 +133,7 @@ def _answer(t: pa.Table) -> pa.Table:
     n = t.column("n").to_pylist()
     keys = [np.cumsum(unpack(r, m), dtype=np.uint64) for r, m in zip(t.column("keys").to_pylist(), n)]
     counts = [unpack(r, m) for r, m in zip(t.column("counts").to_pylist(), n)]
-    table = np.unique(np.concatenate(keys))
+    table = common.distinct(np.concatenate(keys))
     total, held = np.zeros(len(table), np.int64), np.zeros(len(table), bool)
     at = [np.searchsorted(table, k) for k in keys]
     for i, c in zip(at, counts):

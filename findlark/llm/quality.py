@@ -53,7 +53,7 @@ class Lines:
         last = w.ids[(w.start + w.count - 1)[there]] if len(there) else np.empty(0, np.int64)
         ends[there] = has(r"[.!?][\"')\]]*$")[last] if len(last) else 0
         # Distinct words of each line, and words that repeat the one before.
-        key = np.unique(w.row.astype(np.int64) << 32 | w.ids) >> 32
+        key = common.distinct(w.row.astype(np.int64) << 32 | w.ids) >> 32
         distinct = np.bincount(key, minlength=len(doc))
         again = np.bincount(w.row[1:][(w.ids[1:] == w.ids[:-1]) & (w.row[1:] == w.row[:-1])], minlength=len(doc)) if len(w.ids) else np.zeros(len(doc))
         # Lines equal to an earlier one of their text.
@@ -71,7 +71,7 @@ class Lines:
             at = np.flatnonzero(word_doc[:m] == word_doc[2:])
             h = common.mix(common.mix(i[:m] * common.MULT[0] + i[1 : m + 1] * common.MULT[1] + i[2:] * common.MULT[2])[at] + word_doc[at].astype(np.uint64) * common.MULT[3])
             s = np.sort(h)
-            many = np.unique(s[1:][s[1:] == s[:-1]])
+            many = common.distinct(s[1:][s[1:] == s[:-1]])
             if len(many):
                 k = np.minimum(np.searchsorted(many, h), len(many) - 1)
                 hit = at[many[k] == h]

@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> tuple[np
     def run(batches):
         for b in common.chunks(batches):
             rs, ss = zip(*Features(b.column("text")).parts())
-            key = np.unique(np.concatenate(rs).astype(np.int64) << 32 | np.concatenate(ss))
+            key = common.distinct(np.concatenate(rs).astype(np.int64) << 32 | np.concatenate(ss))
             cut = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
             slots = (key & 0xFFFFFFFF).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([slots[a:e].tobytes() for a, e in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "y", "slots"])
@@ -125,7 +125,7 @@ def scores(slots: np.ndarray, weights: np.ndarray, texts: pa.Array) -> np.ndarra
         on = np.flatnonzero(table[slot])
         rs.append(row[on].astype(np.int64))
         ss.append(slot[on])
-    key = np.unique(np.concatenate(rs) << 32 | np.concatenate(ss))
+    key = common.distinct(np.concatenate(rs) << 32 | np.concatenate(ss))
     total = np.bincount(key >> 32, weights=table[key & 0xFFFFFFFF], minlength=len(texts)) + table[BIAS]
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
