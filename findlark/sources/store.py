@@ -13,6 +13,7 @@ import hashlib
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,8 @@ def _read(spark: SparkSession, path: str) -> bytes | None:
     stream = fs.open(p)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    except Py4JJavaError as e:
+        raise StoreError(f"{path} cannot be read") from e
     finally:
         stream.close()
 
