@@ -185,6 +185,8 @@ class Dfa:
             sign.setdefault(tuple(b in s for s in order), []).append(b)
         classes = list(sign.values())
         first = closure(root)
+        if any(s in ends for s in first):
+            raise ValueError("a rule matches the empty string")
         number, todo, rows = {first: 0}, [first], []
         for now in todo:
             row = []
@@ -221,8 +223,6 @@ class Dfa:
         self.accepts = accepts[one[rank]]
         self.first_accepting = int((self.accepts == 0).sum())
         self.start = int(place[part[0]])
-        if self.start and not anchored:
-            raise ValueError("a rule matches the empty string")
 
 
 def scan_back(dfa: Dfa, data: np.ndarray, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:

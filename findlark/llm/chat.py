@@ -133,6 +133,7 @@ def layout(each: DataFrame) -> DataFrame:
 
 def tree(conversations: DataFrame, path: str | None = None, share_depth: int = 64) -> tuple[DataFrame, DataFrame]:
     """(nodes, paths). nodes: node, parent, root, depth, offset, position, length, loss_from, loss_to, ids, attends (start, end of its ancestors' intervals, merged); paths: conv_id, k, node."""
+    common.small_batches(conversations.sparkSession)
     common.checkpoints(conversations.sparkSession)
     each = turns(conversations, path, share_depth).checkpoint()
     places = layout(each)

@@ -18,10 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Odd multipliers, one per place in a window.
 MULT = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD6E8FEB86659FD93 * (i + 1))) % (1 << 64) | 1 for i in range(64)], dtype=np.uint64)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB between JVM and Python, unless the session asks for smaller ones: rows of text come in thousands at a time otherwise."""
+    if int(spark._jsparkSession.sessionState().conf().getConfString(BATCH_BYTES, str(1 << 30)).rstrip("bB")) > 8 << 20:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -37,6 +47,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             to = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
             yield b.slice(at, to - at)
             at = to
+        del b, size
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ Words are lower-cased and stripped of punctuation; numbers, units after a
 number, and names (capitalised words inside a sentence) become typed
 placeholders. Windows of ``window`` such template tokens are hash-joined with
 the windows of the benchmark items, so a question with other numbers or names
-still meets its origin. A match counts only while its slots are consistent:
+still meets its origin. A window counts only if its slots are consistent:
 along one alignment, equal slot values of the item must be equal in the
 document, and different ones different. An item is found in a document when the
 consistent windows cover at least ``least`` of its tokens.
@@ -49,7 +49,7 @@ class Template:
         words = enc.dictionary.to_pylist()
         to = np.asarray(enc.indices)
         kind = np.zeros(len(words), np.int8)
-        kind[np.asarray(pc.match_substring_regex(enc.dictionary, r"^\p{N}|\p{N}$"), dtype=bool)] = NUMBER
+        kind[np.asarray(pc.match_substring_regex(enc.dictionary, r"^\p{N}"), dtype=bool)] = NUMBER
         for i, x in enumerate(words):
             if len(x) < 11 and not kind[i]:
                 if x in NUMBERS:
@@ -133,18 +133,20 @@ class Index:
         for (r, item, shift), runs in hits.items():
             kinds, values = self.kinds[item], self.values[item]
             base = int(t.start[r]) + shift
+            # Slots of all windows of this alignment: which values of the item meet which of the document.
+            places = sorted({j for q, size in runs for j in range(q, q + size) if kinds[j]})
+            slots = {j: ((int(kinds[j]), int(values[j])), (int(kinds[j]), int(t.value[base + j]))) for j in places}
             there: dict = {}
             back: dict = {}
+            for v, d in slots.values():
+                there.setdefault(v, set()).add(d)
+                back.setdefault(d, set()).add(v)
+            torn = {j for j, (v, d) in slots.items() if len(there[v]) > 1 or len(back[d]) > 1}
             covered: set[int] = set()
-            changed: set[int] = set()
-            for q, size in sorted(runs):
-                slots = [(int(kinds[j]), int(values[j]), int(t.value[base + j]), j) for j in range(q, q + size) if kinds[j]]
-                if all(there.get((k, v), d) == d and back.get((k, d), v) == v for k, v, d, _ in slots) and len({(k, v) for k, v, _, _ in slots}) == len({(k, d) for k, _, d, _ in slots}) == len({(k, v, d) for k, v, d, _ in slots}):
-                    for k, v, d, j in slots:
-                        there[k, v], back[k, d] = d, v
-                        if v != d:
-                            changed.add(j)
+            for q, size in runs:
+                if torn.isdisjoint(range(q, q + size)):
                     covered.update(range(q, q + size))
+            changed = {j for j in covered & slots.keys() if slots[j][0] != slots[j][1]}
             if covered:
                 one = got.setdefault((r, item), [set(), 1 << 60, 0, set()])
                 one[0] |= covered
@@ -177,6 +179,7 @@ FOUND_DDL = "doc_id long, item_id long, coverage double, word_start long, word_e
 def contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """One row for each document and benchmark item found in it."""
     spark, out = docs.sparkSession, None
+    common.small_batches(spark)
     for index in indexes(benchmark, **params):
         shipped = spark.sparkContext.broadcast(index)
 
@@ -195,6 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns."""
+    common.small_batches(docs.sparkSession)
     for index in indexes(benchmark, **params):
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 

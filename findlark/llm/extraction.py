@@ -245,6 +245,7 @@ def uncovered(own: list[Block], places: list[int], pages_of: list[int], host_pag
 
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """pages(page_id, url, html, ...) without html, with text and n_chars; input columns of those names are replaced."""
+    common.small_batches(pages.sparkSession)
     spark = pages.sparkSession
     pages = pages.drop("text", "n_chars")
     frequent = suffix_counts(pages, p).where(F.col("n") >= p.min_pages)

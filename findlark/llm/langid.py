@@ -251,6 +251,7 @@ def scores(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score; input columns of those names are replaced."""
+    common.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -192,7 +192,7 @@ def _chunks(batches, bits: int):
             own = f"{xxhash.xxh64_hexdigest(names[a])}-{starts[a]}"
             if own != split:
                 split, ord_ = own, 0
-            for b in common.chunks([big.slice(a, e - a)]):
+            for b in common.chunks([big.slice(a, e - a)], most=2 * common.CHUNK_BYTES):
                 yield split, ord_, b, Tokens(b.column("text"), b.column("doc_id"), bits)
                 ord_ += 1
 
@@ -235,6 +235,7 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
 
     spark = docs.sparkSession
     common.checkpoints(spark)
+    common.small_batches(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lm-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
     if not stable:
@@ -242,7 +243,7 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
         docs = spark.read.parquet(f"{base}/docs")
     n_docs = docs.count()
     bits = 46 if n_docs < 1 << 24 else 64
-    shards = shards or min(1 << 16, max(8, n_docs // 4000))
+    shards = shards or min(1 << 16, max(8, n_docs // 2000))
     keyed = docs.withColumn("_file", F.input_file_name()).withColumn("_start", F.input_file_block_start())
 
     def first(batches):
@@ -254,7 +255,7 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
 
     short = _stored(keyed.mapInArrow(first, SENT), base, "short", shards)
-    stats = spark.read.parquet(short).where("split = 'stats'").agg(F.sum("total"), F.sum("kinds")).first()
+    stats = spark.read.schema(REPLY).parquet(short).where("split = 'stats'").agg(F.sum("total"), F.sum("kinds")).first()
     N, V = int(stats[0] or 0), int(stats[1] or 0)
     spark.sparkContext._jvm.System.gc()  # lets the cleaner remove the shuffle files of the first pass
 

@@ -79,7 +79,7 @@ def _encode_words(words: list[str], path: str | None) -> tuple[np.ndarray, np.nd
 class _Known:
     """Ids of words that a worker has met, up to ``most`` of them; later ones are encoded each time."""
 
-    def __init__(self, path: str | None, most: int = 400_000):
+    def __init__(self, path: str | None, most: int = 300_000):
         self.path, self.most, self.at, self.flat, self.size = path, most, {}, np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,6 +141,7 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of every document; with_ids adds their ids."""
+    common.small_batches(docs.sparkSession)
     schema = PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECES
 
     def run(batches):

@@ -232,6 +232,7 @@ DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 
 def assess(docs: DataFrame, crf: Crf) -> DataFrame:
     """Counts and verdict of every text of docs(doc_id, text)."""
+    common.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches):

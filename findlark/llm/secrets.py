@@ -128,6 +128,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 sha[i], spans[i], total[i] = hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(parts), len(got)
             yield common.batch(SCHEMA, b.column("doc_id"), *counts, sha, spans, total)
 
+    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, DDL)
 
 
@@ -160,6 +161,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 columns[j] = pc.if_else(changed, lens.cast(b.schema.field("n_chars").type), b.column("n_chars"))
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -132,6 +132,7 @@ def scores(slots: np.ndarray, weights: np.ndarray, texts: pa.Array) -> np.ndarra
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score) of docs(doc_id, text)."""
+    common.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
