@@ -14,8 +14,8 @@ blocks of at most ``block_items`` items; a larger benchmark takes one pass over
 the documents for each block, so what is broadcast stays bounded. Documents are
 never shuffled.
 
-Defined results: null, empty and word-free texts match nothing; windows with
-fewer than ``literals`` plain words are not evidence; an item shorter than a
+Defined results: null, empty and word-free texts match nothing; template windows with
+fewer than ``literals`` plain words are not evidence; words as they stand are compared too, so case alone hides nothing; an item shorter than a
 window must be there as a whole; repeated rows give repeated results; of equal
 items each is reported; columns besides doc_id and text are ignored.
 """
@@ -57,7 +57,7 @@ class Template:
                 elif x in UNITS:
                     kind[i] = UNIT
         value = common.word_hashes(enc.dictionary) if words else np.empty(0, np.uint64)
-        capital = np.asarray(pc.match_substring_regex(w.vocab, r"^[^\p{L}\p{N}]*\p{Lu}"), dtype=bool)
+        capital = np.asarray(pc.match_substring_regex(w.vocab, r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}"), dtype=bool)
         stop = np.asarray(pc.match_substring_regex(w.vocab, r"[.!?:;|][^\p{L}\p{N}]*$"), dtype=bool)
         there = np.array([bool(x) for x in words], dtype=bool)[to] if words else np.empty(0, bool)
         keep = there[w.ids]
@@ -73,16 +73,19 @@ class Template:
         self.kind, self.value = k, value[to][ids]
         self.hash = np.where(k > 0, SLOT[k], self.value)
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of each window that has enough plain words."""
+    def windows(self, size: int, literals: int, typed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first token of each window: of the template, where it has enough plain words, or of the words as they are, in whatever case."""
         m = len(self.hash) - size + 1
         if m <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        ok = (self.row[:m] == self.row[size - 1 :]) & (plain[size:] - plain[:m] >= min(literals, size))
-        acc = np.zeros(m, np.uint64)
+        ok = self.row[:m] == self.row[size - 1 :]
+        if typed:
+            ok &= (plain[size:] - plain[:m] >= min(literals, size)) & (plain[size:] - plain[:m] < size)
+        h = self.hash if typed else self.value
+        acc = np.full(m, np.uint64(typed))
         for j in range(size):
-            acc += self.hash[j : j + m] * common.MULT[j]
+            acc += h[j : j + m] * common.MULT[j]
         at = np.flatnonzero(ok)
         return common.mix(acc[at]), at
 
@@ -95,15 +98,15 @@ class Index:
     item_ids: list[int]
     kinds: list[np.ndarray]
     values: list[np.ndarray]
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by size: sorted hashes, item, place, filter
+    tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by size and whether typed: sorted hashes, item, place, filter
 
     @staticmethod
     def build(item_ids: list[int], texts: list[str | None], window: int, literals: int, least: float) -> "Index":
         t = Template(pa.array(texts, pa.string()))
         part = lambda a: np.split(a, t.start[1:]) if len(t.start) else []
         tables = {}
-        for size in sorted({min(window, int(n)) for n in t.count if n}):
-            h, at = t.windows(size, literals)
+        for size, typed in ((s, y) for s in sorted({min(window, int(n)) for n in t.count if n}) for y in (False, True)):
+            h, at = t.windows(size, literals, typed)
             row = t.row[at] if len(at) else np.empty(0, np.int64)
             own = np.minimum(t.count, window)[row] == size
             h, at, row = h[own], at[own], row[own]
@@ -111,15 +114,15 @@ class Index:
             h, at, row = h[o], at[o], row[o]
             seen = np.zeros(1 << 20, bool)
             seen[h >> np.uint64(44)] = True
-            tables[size] = (h, row, at - t.start[row], seen)
+            tables[size, typed] = (h, row, at - t.start[row], seen)
         return Index(window, literals, least, item_ids, part(t.kind), part(t.value), tables)
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         """(text, item, share of the item's tokens, first and end token in the text, changed slots) of each item found."""
         t = Template(texts)
         hits: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for size, (keys, items, places, seen) in self.tables.items():
-            h, at = t.windows(size, self.literals)
+        for (size, typed), (keys, items, places, seen) in self.tables.items():
+            h, at = t.windows(size, self.literals, typed)
             near = seen[h >> np.uint64(44)]
             h, at = h[near], at[near]
             a, b = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
