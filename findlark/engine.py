@@ -224,7 +224,8 @@ class Engine:
         vocabulary = tokens.select("term").distinct()
         live = self.index.live_postings(F.lit(True)).select("field", "term", "doc_id", "tf", "dl").join(vocabulary, "term", "left_semi")
         if self.scorer is not None:
-            df = live.groupBy("field", "term").agg(F.count("*").alias("df"))
+            stored = self.index.terms
+            df = live.groupBy("field", "term").agg(F.count("*").alias("df")) if stored is None else stored.select("field", "term", "df")
             live = live.join(df, ["field", "term"]).join(F.broadcast(self.index.field_stats()), "field")  # a row a field
             live = live.withColumn("query_type", F.lit("term"))
             live = live.select("term", "doc_id", "tf", parts(self.scorer)["score"].alias("score"))

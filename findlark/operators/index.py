@@ -69,6 +69,8 @@ class Index:
     doc_stats: DataFrame
     tombstones: DataFrame | None = None
     positional: frozenset[str] | None = None  # fields with positions; None: all
+    terms: DataFrame | None = None  # stored term_stats of an index that does not change
+    kept_stats: DataFrame | None = None
 
     def _live(self, df: DataFrame) -> DataFrame:
         return df if self.tombstones is None else df.join(self.tombstones, ["doc_id", "ver"], "left_anti")
@@ -82,8 +84,18 @@ class Index:
 
     def field_stats(self) -> DataFrame:
         """(field, n_docs, avg_len): one row a field."""
-        return self.live_stats().groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
+        return self.kept_stats if self.kept_stats is not None else self.live_stats().groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
+
+    def keep_stats(self, most: int = 10_000) -> "Index":
+        """Reads field_stats once, if there are not too many fields, for an index that does not change."""
+        stats = self.field_stats()
+        rows = stats.limit(most + 1).collect()
+        if len(rows) <= most:
+            self.kept_stats = stats.sparkSession.createDataFrame(rows, stats.schema)
+        return self
 
     def term_stats(self) -> DataFrame:
         """(field, term, df, cf)."""
+        if self.terms is not None:
+            return self.terms
         return self._live(self.postings).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -95,12 +95,17 @@ class Compiler:
         own = list(dict.fromkeys(self.keys(token))) if self.keys else [token]
         return [k for k in own if self.member is None or self.member(k)]
 
-    def _scored(self, rows: DataFrame) -> DataFrame:
-        """rows(doc_id, clause, token, field, term, query_type, tf, dl) with df, statistics and score."""
+    def _scored(self, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+        """rows(doc_id, clause, token, field, term, query_type, tf, dl) with df, statistics and score. keys: the terms of rows, if stored statistics may serve."""
         if self.scorer is None:
             return rows.withColumn("score", F.lit(0.0))
-        df = rows.groupBy("field", "clause", "token", "key").agg(F.count("*").alias("df"))  # a row for each term of the query
-        rows = rows.join(F.broadcast(df), ["field", "clause", "token", "key"]).join(F.broadcast(self.index.field_stats()), "field")
+        if keys is not None and self.index.terms is not None:
+            df, by = self.index.terms.where(F.col("term").isin(keys)).select("field", F.col("term").alias("key"), "df"), ["field", "key"]
+        else:
+            by = ["field", "clause", "token", "key"]
+            df = rows.groupBy(*by).agg(F.count("*").alias("df"))
+        # Either way df has a row for each term of the query and field.
+        rows = rows.join(F.broadcast(df), by).join(F.broadcast(self.index.field_stats()), "field")
         p = parts(self.scorer)
         return rows.select("*", *[c.alias(n) for n, c in p.items()])
 
@@ -125,7 +130,7 @@ class Compiler:
         q = self.spark.createDataFrame(wanted, "clause int, token int, label string, key string, own string")
         live = self.index.live_postings(where).select("field", F.col("term").alias("key"), "doc_id", "tf", "dl")
         rows = live.join(F.broadcast(q), "key").where("own = '' or own = field").select("doc_id", "clause", "token", "field", F.col("label").alias("term"), "key", F.lit("term").alias("query_type"), "tf", "dl")
-        return self._scored(rows)
+        return self._scored(rows, sorted({w[3] for w in wanted}))
 
     def phrase_rows(self, q: Phrase, clause: int = 0) -> DataFrame | None:
         tokens = self.analyzer.tokens(q.text)

@@ -95,6 +95,8 @@ def _save(engine: Engine, path: str, mode: str, postings: DataFrame, stats: Data
     old = _read(spark, f"{path}/manifest.json")
     _sorted(postings, "field", "term", "doc_id").write.parquet(f"{data}/postings")
     _sorted(stats, "field", "doc_id").write.parquet(f"{data}/doc_stats")
+    if mode == "segment":
+        _sorted(postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "field", "term").write.parquet(f"{data}/term_stats")
     if dead is not None:
         dead.distinct().write.parquet(f"{data}/tombstones")
     codec, sum_ = "", ""
@@ -144,6 +146,9 @@ def load(spark: SparkSession, path: str, analyzer=None, expect_fingerprint: str
         raise StoreError("the index was made with another analyzer")
     read = spark.read.parquet
     out.index = Index(read(f"{data}/postings"), read(f"{data}/doc_stats"), read(f"{data}/tombstones") if m["tombstones"] else None)
+    if mode == "segment":
+        out.index.terms = read(f"{data}/term_stats")
+        out.index.keep_stats()
     out.version, out.sealed = m["version"], mode == "segment"
     if m["filter"]:
         raw = _read(spark, f"{data}/filter.bin")
