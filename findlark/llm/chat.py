@@ -62,6 +62,12 @@ def tokenizer(path: str | None):
     return t
 
 
+@lru_cache(maxsize=2)
+def id_type(path: str | None) -> str:
+    """Two bytes hold the ids of a vocabulary of up to 65,536."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<i4"
+
+
 def encode(parts: list[str], path: str | None = None) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -70,7 +76,7 @@ TURNS_DDL = "conv_id long, k long, node binary, parent binary, root binary, path
 
 
 def turns(conversations: DataFrame, path: str | None = None, share_depth: int = 64) -> DataFrame:
-    """Every turn with its node in the prefix tree and its tokens (little-endian int32)."""
+    """Every turn with its node in the prefix tree and its tokens (little-endian, id_type)."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -78,6 +84,7 @@ def turns(conversations: DataFrame, path: str | None = None, share_depth: int =
         first, conv = True, None
         k = position = 0
         node = root = way = b""
+        kind = id_type(path)
         for b in common.chunks(batches, most=1 << 20):
             roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
             mid = encode([escape(t) for t in texts], path)
@@ -99,7 +106,7 @@ def turns(conversations: DataFrame, path: str | None = None, share_depth: int =
                     key = way + xxhash.xxh64_digest(str(c)) + k.to_bytes(8, "big")
                 n = len(h) + len(t) + len(end)
                 loss = (len(h), len(h) + len(t)) if role == LOSS_ROLE else (0, 0)
-                for column, v in zip(out, (c, k, node, parent, root, key, position, n, *loss, np.array(h + t + end, "<i4").tobytes())):
+                for column, v in zip(out, (c, k, node, parent, root, key, position, n, *loss, np.array(h + t + end, kind).tobytes())):
                     column.append(v)
                 k, position = k + 1, position + n
             types = [pa.int64(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 4, pa.binary()]
@@ -174,7 +181,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, path: str | None = None) -> Da
         def done():
             return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
-        decode = tokenizer(path).decode
+        decode, kind = tokenizer(path).decode, id_type(path)
         for b in batches:
             out = []
             for c, lf, lt, raw in zip(*(b.column(x).to_pylist() for x in ("conv_id", "loss_from", "loss_to", "ids"))):
@@ -182,7 +189,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, path: str | None = None) -> Da
                     if state:
                         out.append(done())
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.frombuffer(raw, "<i4").tolist()
+                ids = np.frombuffer(raw, kind).tolist()
                 written = decode(ids, skip_special_tokens=False)
                 role, text = (unescape(x) for x in form.fullmatch(written).groups())
                 state[0] += 1
