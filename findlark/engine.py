@@ -41,6 +41,17 @@ class SearchResult:
     def rows(self):
         return self.results.collect()
 
+    def diagnose(self) -> dict:
+        """Runs the query once and tells what it did: strategy, why term-only paths did not apply, matching and returned documents, seconds."""
+        from pyspark.sql import Observation
+
+        seen = Observation()
+        began = time.perf_counter()
+        n = self.matches.observe(seen, F.count(F.lit(1)).alias("matched"), F.max("score").alias("best")).groupBy().agg(F.count(F.lit(1))).first()[0]
+        d = self.diagnostics
+        returned = min(n, self.limit) if self.limit > 0 else n
+        return {"strategy": d.strategy, "skip_reasons": list(d.skip_reasons), "matched": seen.get["matched"], "best": seen.get["best"], "returned": returned, "plan_seconds": d.plan_seconds, "run_seconds": time.perf_counter() - began}
+
 
 @dataclass
 class Engine:

@@ -87,3 +87,26 @@ def exact_answers(postings: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", "kind", F.size(F.array_distinct("terms")).alias("n"), F.explode(F.array_distinct("terms")).alias("term"))
     got = postings.select("term", "doc_id").distinct().join(q, "term").groupBy("query_id", "doc_id", "kind", "n").agg(F.count("*").alias("c"))
     return got.where("kind = 'or' or c = n").select("query_id", "doc_id", F.lit(1).alias("grade"))
+
+
+def run_kind(engine, kind: str, text: str, k: int = 10):
+    """One benchmark query by kind: text (plain), term, phrase, prefix or boolean (query string)."""
+    from ..plans.ast import Phrase, Prefix, Term
+
+    if kind == "text":
+        return engine.search_plain_text(text, k)
+    if kind == "boolean":
+        return engine.search_documents(text, k)
+    kinds = {"term": Term, "phrase": Phrase, "prefix": Prefix}
+    if kind not in kinds:
+        raise ValueError(f"unknown query kind {kind!r}")
+    return engine.search(kinds[kind](text), k)
+
+
+def cached(spark, path: str, version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows from path/version, written there the first time: a workload is generated once."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{version}")

@@ -232,6 +232,31 @@ class Buffered:
         return self.built.serialize()
 
 
+def bloom_of(keys, items: int, bits_per_item: int = 10, hashes: int = 7, seed: int = 0) -> Bloom:
+    """A Bloom filter over a DataFrame's only column. Partitions set bits on the executors; 64-bit words that any of them
+    touched come to the driver, at most the filter's own size."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    shape = Bloom(items, bits_per_item, hashes, seed)
+
+    def run(batches):
+        own = Bloom(items, bits_per_item, hashes, seed)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                if k is not None:
+                    own.add(k)
+        words = np.frombuffer(own.bits.tobytes() + bytes(-len(own.bits) % 8), "<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["w", "m"])
+
+    t = keys.mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    words = np.zeros(-(-len(shape.bits) // 8), "<i8")
+    words[np.asarray(t.column("w"))] = np.asarray(t.column("m"))
+    shape.bits = np.frombuffer(words.tobytes(), np.uint8)[: len(shape.bits)].copy()
+    return shape
+
+
 FILTERS = {"bloom": Bloom, "cuckoo": Cuckoo, "ribbon": Ribbon}
 
 

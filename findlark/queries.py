@@ -12,7 +12,7 @@ from .functions import analysis as an
 from .operators import evaluate as ev
 from .operators import highlight as hl
 from .operators import index as ix
-from .operators.filters import make_filter
+from .operators.filters import bloom_of, make_filter
 from .operators.scoring import BM25, TFIDF, RankProfile
 from .plans.ast import MUST, NOT, SHOULD, Boolean, FieldClause, Phrase, Prefix, Term, must, must_not, should
 
@@ -555,14 +555,22 @@ def _membership(kind: str):
     def run(spark, sf):
         terms = documents(spark, sf).index.postings.select("term").distinct().persist()
         n = terms.count()
-        f = make_filter(kind, n)
-        for r in terms.toLocalIterator():
+        f = bloom_of(terms, n) if kind == "bloom" else make_filter(kind, n)
+        for r in terms.toLocalIterator() if kind != "bloom" else ():
             if not f.add(r["term"]):
                 raise RuntimeError("the filter is full")
         if hasattr(f, "build"):
             f.build()
-        missed = sum(not f.contains(r["term"]) for r in terms.toLocalIterator())
-        return spark.createDataFrame([(n, missed)], "keys long, missed long")
+        shipped = spark.sparkContext.broadcast(f)
+
+        def check(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                missed = sum(not shipped.value.contains(k) for k in b.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([missed])], names=["keys", "missed"])
+
+        return terms.mapInArrow(check, "keys long, missed long").agg(F.sum("keys").alias("keys"), F.sum("missed").alias("missed"))
 
     return run
 

@@ -222,3 +222,16 @@ def test_config(spark):
         with pytest.raises(ValueError):
             EngineConfig(**bad)
     assert Phrase("a").near is None
+
+
+def test_kinds_and_diagnostics(spark):
+    from findlark.operators.evaluate import run_kind
+
+    e = engine(spark, {"1": "foo bar", "2": "foo"}, BM25())
+    assert [ids(run_kind(e, k, t)) for k, t in (("text", "foo"), ("term", "bar"), ("phrase", "foo bar"), ("prefix", "ba"), ("boolean", "+foo -bar"))] == [["2", "1"], ["1"], ["1"], ["1"], ["2"]]
+    with pytest.raises(ValueError):
+        run_kind(e, "x", "y")
+    d = e.search_documents('foo "foo bar"', 1).diagnose()
+    assert (d["strategy"], d["matched"], d["returned"]) == ("bool_fallback", 2, 1) and "or_fast_non_term_clause" in d["skip_reasons"]
+    r = e.search_documents("foo bar", 1)
+    assert r.total() == 2 and r.total(compat=True) == 1

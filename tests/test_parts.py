@@ -101,3 +101,22 @@ def test_readers(spark, tmp_path):
     assert got.count() == 5 and {"3", "4"} <= {r["doc_id"] for r in got.collect()}
     d, q, j = readers.synthetic(spark, docs=20, queries=4, words=10)
     assert (d.count(), q.count(), j.count()) == (20, 4, 4) and q.first()["text"]
+
+
+def test_distributed_bloom(spark):
+    keys = spark.range(5000).selectExpr("concat('k', id) k").repartition(7)
+    f = fl.bloom_of(keys, 5000)
+    one = fl.Bloom(5000)
+    for i in range(5000):
+        one.add(f"k{i}")
+    assert (f.bits == one.bits).all() and f.contains("k77")
+
+
+def test_cached_workload(spark, tmp_path):
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    assert [ev.cached(spark, str(tmp_path), "v1", make).count() for _ in range(2)] == [3, 3] and len(calls) == 1
