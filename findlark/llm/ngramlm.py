@@ -80,6 +80,7 @@ class Tokens:
         h = np.append(common.word_hashes(pc.ascii_lower(w.vocab)), np.uint64(0x1234567890ABCDEF))
         places = w.start + w.count
         ids, self.row = np.insert(w.ids, places, len(h) - 1), np.insert(w.row, places, np.arange(w.n))
+        self.ids, self.h = ids, h
         self.count = w.count + 1
         self.start = np.cumsum(self.count) - self.count
         self.n, self.bits = len(ids), np.uint64(64 - bits)
@@ -94,6 +95,11 @@ class Tokens:
     def key(self, n: int, at: np.ndarray) -> np.ndarray:
         return common.mix((self.sum[at + 1] - self.sum[at + 1 - n]) * self.down[at] + np.uint64(n * int(common.MULT[7]) % (1 << 64))) >> self.bits
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The vocabulary entries in use and their fingerprints: key(1, at) by word instead of by place."""
+        used = np.flatnonzero(np.bincount(self.ids, minlength=len(self.h)))
+        return used, common.mix(self.h[used] + np.uint64(int(common.MULT[7]) % (1 << 64))) >> self.bits
+
     def places(self, n: int) -> np.ndarray:
         return np.flatnonzero(self.before >= n - 1)
 
@@ -106,20 +112,31 @@ def _distinct(keys: np.ndarray, train: np.ndarray, bits: int) -> tuple[np.ndarra
     else:
         o = np.argsort(keys)
         k, t = keys[o], train[o].astype(np.int64)
+    return _grouped(k, t, np.ones(len(k), np.int64))
+
+
+def _grouped(k: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _distinct, of ascending keys that stand for n places each, t of them in training."""
     cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
     if not len(cut):
         return k, t
     c = np.add.reduceat(t, cut)
-    n = np.diff(np.append(cut, len(k)))
-    return k[cut], 2 * c + (n > c)
+    return k[cut], 2 * c + (np.add.reduceat(n, cut) > c)
+
+
+def _distinct_words(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    used, keys = t.words()
+    o = np.argsort(keys)
+    all_, train = np.bincount(t.ids, minlength=len(t.h))[used], np.bincount(t.ids[t.train], minlength=len(t.h))[used]
+    return _grouped(keys[o], train[o], all_[o])
 
 
 SENT = "level int, shard int, split string, ord int, n long, crc long, keys binary, counts binary"
 SENT_SCHEMA = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("split", pa.string()), ("ord", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _send(rows: list, level: int, keys: np.ndarray, train: np.ndarray, split: str, ord_: int, shards: int, bits: int) -> None:
-    k, c = _distinct(keys, train, bits)
+def _send(rows: list, level: int, counted: tuple[np.ndarray, np.ndarray], split: str, ord_: int, shards: int, bits: int) -> None:
+    k, c = counted
     cuts = np.searchsorted((k >> np.uint64(bits - 20)) * np.uint64(shards) >> np.uint64(20), np.arange(shards + 1))
     for s in range(shards):
         a, e = cuts[s], cuts[s + 1]
@@ -166,7 +183,11 @@ class Replies:
 
     def of(self, ord_: int, level: int, keys: np.ndarray) -> np.ndarray:
         """The answer (2 x training count + held-out flag) for each of the keys that were sent."""
-        table, inverse = np.unique(keys, return_inverse=True)
+        order = np.argsort(keys)
+        table = keys[order]
+        new = np.ones(len(table), bool)
+        new[1:] = table[1:] != table[:-1]
+        table, group = table[new], np.cumsum(new) - 1
         parts = sorted(self.parts.get((ord_, level), ()), key=lambda p: p[0])
         got = [unpack(d, n) for _, n, _, d in parts]
         got = np.concatenate(got) if got else np.empty(0, np.uint64)
@@ -177,7 +198,9 @@ class Replies:
             at += n
         if at != len(table):
             raise RuntimeError("a file split changed between the passes")
-        return got[inverse].astype(np.int64) if len(got) else np.empty(0, np.int64)
+        out = np.empty(len(keys), np.int64)
+        out[order] = got.astype(np.int64)[group]
+        return out
 
 
 def _chunks(batches, bits: int):
@@ -203,7 +226,11 @@ class Short:
 
     def __init__(self, t: Tokens, replies: Replies, ord_: int):
         self.count = {}
-        for n in SHORT:
+        used, keys = t.words()
+        of_word = np.zeros(len(t.h), np.int64)
+        of_word[used] = replies.of(ord_, 1, keys)
+        self.count[1] = of_word[t.ids]
+        for n in SHORT[1:]:
             at = t.places(n)
             self.count[n] = np.zeros(t.n, np.int64)
             self.count[n][at] = replies.of(ord_, n, t.key(n, at))
@@ -252,7 +279,7 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
             rows = []
             for n in SHORT:
                 at = t.places(n)
-                _send(rows, n, t.key(n, at), t.train[at], split, ord_, shards, bits)
+                _send(rows, n, _distinct_words(t) if n == 1 else _distinct(t.key(n, at), t.train[at], bits), split, ord_, shards, bits)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
 
     short = _stored(keyed.mapInArrow(first, SENT), base, "short", shards)
@@ -267,8 +294,8 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
                 replies, of = Replies(short, split), split
             rows = []
             for n, at in Short(t, replies, ord_).deep(t):
-                _send(rows, n, t.key(n, at - 1), t.train[at], split, ord_, shards, bits)
-                _send(rows, n + 1, t.key(n + 1, at), t.train[at], split, ord_, shards, bits)
+                _send(rows, n, _distinct(t.key(n, at - 1), t.train[at], bits), split, ord_, shards, bits)
+                _send(rows, n + 1, _distinct(t.key(n + 1, at), t.train[at], bits), split, ord_, shards, bits)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
 
