@@ -11,7 +11,7 @@ from .functions.analysis import ANALYZERS
 from .operators.filters import FILTERS, make_filter
 from .operators.scoring import BM25, TFIDF, RankProfile
 
-INDEXES = ("flat", "slicedradix", "hamt")
+INDEXES = ("flat", "radix", "hamt")
 SCORERS = ("none", "bm25", "tfidf")
 
 
