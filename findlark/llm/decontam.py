@@ -10,8 +10,8 @@ document, and different ones different. An item is found in a document when the
 consistent windows cover at least ``least`` of its tokens.
 
 The item windows are a sorted hash table on the executors. It is built from
-blocks of at most ``block_items`` items; a larger benchmark takes one pass over
-the documents for each block, so what is broadcast stays bounded. Documents are
+blocks of at most ``block_items`` items and ``block_chars`` characters; a larger
+benchmark takes one pass over the documents for each block, so what is broadcast stays bounded. Documents are
 never shuffled.
 
 Defined results: null, empty and word-free texts match nothing; template windows with
@@ -163,11 +163,11 @@ class Index:
         return sorted(out)
 
 
-def indexes(benchmark: DataFrame, window: int = 8, literals: int = 4, least: float = 0.5, block_items: int = 50_000):
-    """One Index for each block of items (item_id, text)."""
+def indexes(benchmark: DataFrame, window: int = 8, literals: int = 4, least: float = 0.5, block_items: int = 50_000, block_chars: int = 1 << 25):
+    """One Index for each block of items (item_id, text); a block holds about half of either bound, or one item that is longer."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    n = items.count()
-    blocks = max(1, -(-2 * n // block_items)) if n > block_items else 1
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = 1 if n <= block_items and chars <= block_chars else max(-(-2 * n // block_items), -(-2 * chars // block_chars))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
