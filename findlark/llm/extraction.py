@@ -51,7 +51,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 BOX = frozenset("article aside body details dialog div fieldset figure footer form head header html li main menu nav ol section table tbody td tfoot th thead tr ul blockquote center dl button".split())
 NOISE_TAGS = frozenset("nav footer aside form head dialog menu button fieldset".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus reply replies respond share sharing social related recommended recommendations widget toolbar pagination pager login search disclaimer copyright".split())
+NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus reply replies respond share sharing social related recommended recommendations widget toolbar pagination pager login search disclaimer copyright responses discussion masthead topbar sidenav".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 MAIN_WORDS = frozenset(("articlebody", "article-body", "post-content", "entry-content", "article-content", "story-body", "post-body", "main-content"))
 
@@ -67,7 +67,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, int, int]] = []  # tag, whether it is noise, whether it is the article
+    stack: list[tuple[str, int, int, bool]] = []  # tag, whether it is noise, whether it is the article, whether only its name says noise
     noise = article = 0
     parts: list[str] = []
     linked = total = in_link = 0
@@ -121,16 +121,17 @@ def blocks(html: str | None) -> list[Block]:
             stack.clear()
         elif tag == "li":  # implied end
             if stack and stack[-1][0] == "li":
-                _, a, b = stack.pop()
+                _, a, b, _ = stack.pop()
                 noise, article = noise - a, article - b
+        named = False  # noise by class or id alone
         bad, good = tag in NOISE_TAGS or (tag == "header" and not article), tag in ("article", "main")
         if len(m.group(4)) > 1:
             for name, *values in ATTR.findall(m.group(4)):
                 name, value = name.lower(), "".join(values).lower()
                 if name in ("class", "id"):
                     words = set(re.split(r"[^a-z0-9]+", value))
-                    if not words & {"article", "post", "entry", "story"} and words & NOISE_WORDS or words & {"comment", "comments"}:
-                        bad = True
+                    if words & NOISE_WORDS and not words & {"has", "with", "no", "without"}:
+                        bad = named = True
                     if MAIN_WORDS & set(value.split()):
                         good = True
                     if "header" in words and not article and tag != "body":
@@ -146,7 +147,13 @@ def blocks(html: str | None) -> list[Block]:
                     bad |= value == "true"
         bad = bad and tag != "body"
         good = good and not bad
-        stack.append((tag, int(bad), int(good)))
+        if good and noise and not any(b.article for b in out):
+            # What holds the page's article is a wrapper, whatever its class says.
+            for k, (t, a, b, by_name) in enumerate(stack):
+                if by_name:
+                    noise -= a
+                    stack[k] = (t, 0, b, False)
+        stack.append((tag, int(bad), int(good), named and tag not in NOISE_TAGS))
         noise += bad
         article += good
     if at < len(html):

@@ -35,6 +35,8 @@ def test_extraction_structure():
     <div class="advert box">Buy</div><form><input>Name</form><aside>Side</aside><section id="comments"><p>First!</section></article><footer>Foot</footer></body></html>"""
     assert [b.text for b in extraction.blocks(html)] == ["Head & line", "One two", "three bold", "Four five"]
     assert [b.text for b in extraction.blocks("<div>plain</div><ul><li><a href=x>only links here</a></li></ul>text")] == ["plain", "text"]
+    wrapped = '<body class="has-sidebar"><div class="ads wrap"><div class="banner">x</div><article>One<div class="post-share">y</div></article></div><div class="related"><article>teaser</article></div>'
+    assert [b.text for b in extraction.blocks(wrapped)] == ["One"]
     assert extraction.blocks("<p>open <script>never closed") == [extraction.Block("open", False)]
 
 
