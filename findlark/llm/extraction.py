@@ -1,4 +1,4 @@
-"""Operator 1: main text of web pages by structure and a host suffix array.
+"""Operator 1: main text of web pages by structure and the suffixes of a host.
 
 A page is cut into blocks by its tags. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are known by tag, role,
@@ -6,21 +6,22 @@ class or id and go. If the page marks an article, its blocks are the main text;
 otherwise all other blocks are.
 
 What templates repeat without saying so is found on the token streams of a host:
-a sparse suffix array samples the suffixes by minimisers of their first
-``depth`` tokens (any repeat of depth + every - 1 tokens shares one) and sorts
-them by (host, those tokens) - as a hash aggregate, since only runs of equal
-prefixes matter. Distinct pages are counted in the partition that reads them, so
-one (hash, count) row a sampled suffix is shuffled, whatever the host; nothing
-is ever collected for a host. Tokens covered by suffixes on at least
-``min_pages`` pages are boilerplate in pages without an article; inside an
-article a run must also be on ``share`` of the host's pages, and must not be
-most of the article (a copied article is no template). Unique runs stay.
+every suffix is keyed by the host and its first ``depth`` tokens, every whole
+block shorter than that by its text, and a key's different contents are counted
+(sorted, delta coded keys to shards by key range; nothing is ever collected for
+a host). A repeated run of ``depth`` tokens or more is covered from end to end by
+its own suffixes; shorter ones count only as whole blocks. What is counted are
+contents, not pages: pages with equal least hashes (``SKETCH`` of them) of their
+suffixes are copies of one content, so that equal pages always and near copies
+mostly count once, and a copied text is no template. Tokens with keys of at least
+``min_pages`` contents are boilerplate in pages without an article; inside an
+article they must also be of ``share`` as many contents as the host has texts.
 
 Frequent suffixes are broadcast up to ``most`` of them; beyond that they are
 joined to the pages by a shuffle, with the same result.
 
 Defined results: null or empty html gives the empty text; a null or odd url
-makes a host of its own; equal pages are pages each; unclosed tags, comments and
+makes a host of its own; equal pages count once and have equal texts; unclosed tags, comments and
 scripts end with the page.
 """
 
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .ngramlm import pack, unpack
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -172,14 +174,20 @@ def host(url: str | None) -> str:
 @dataclass(frozen=True)
 class Params:
     depth: int = 8
-    every: int = 9
     min_pages: int = 5
     share: float = 0.3
     most: int = 1 << 22
 
 
+#: Keys have KEY_BITS, so that a key and the number of a content among a chunk's fit 64 bits.
+KEY_BITS = 46
+SHIFT = np.uint64(64 - KEY_BITS)
+#: Least hashes of a page's suffixes that have to be equal for pages to be copies.
+SKETCH = 4
+
+
 class Pages:
-    """A chunk of pages: their blocks, words, and the sampled suffixes (hash with the host's name, page, place among the page's words)."""
+    """A chunk of pages: their blocks, words, and keys (x, made with the host's name) of all suffixes by their first tokens and of all whole blocks that are shorter, with page (row), place among the page's words (at) and length."""
 
     def __init__(self, urls: list[str | None], htmls: list[str | None], p: Params):
         self.blocks = [blocks(h) for h in htmls]
@@ -189,65 +197,103 @@ class Pages:
         self.host = np.array([known.setdefault(n, xxhash.xxh64_intdigest(n)) for n in map(host, urls)], dtype=np.uint64)
         x, at = w.windows(common.word_hashes(w.vocab), p.depth)
         row = w.row[at]
-        x = common.mix(x ^ self.host[row])
-        # The least suffix of every `every` neighbours on a page, or of all if they are fewer.
-        n = np.bincount(row, minlength=w.n)
-        picked = [np.empty(0, np.int64)]
-        if len(x) >= p.every:
-            v = np.lib.stride_tricks.sliding_window_view(x, p.every)
-            low = v.argmin(axis=1) + np.arange(len(v))
-            picked.append(low[row[: len(v)] == row[p.every - 1 :]])
-        start = np.cumsum(n) - n
-        for i in np.flatnonzero((n > 0) & (n < p.every)).tolist():
-            picked.append(np.array([start[i] + x[start[i] : start[i] + n[i]].argmin()]))
-        pick = common.distinct(np.concatenate(picked))
-        self.x, self.row = x[pick], row[pick]
-        self.at = at[pick] - w.start[self.row]
+        self._identify(x, row, w.n)
+        short = []
+        for i, own in enumerate(self.blocks):
+            place = 0
+            for b in own:
+                n = b.text.count(" ") + 1
+                if n < p.depth:
+                    short.append((xxhash.xxh64_intdigest(b.text, n), i, place, n))
+                place += n
+        sx, srow, sat, sn = (np.array(v, t) for v, t in zip(zip(*short) if short else [()] * 4, (np.uint64, np.int64, np.int64, np.int64)))
+        x, row = np.concatenate([x, sx]), np.concatenate([row, srow])
+        at, length = np.concatenate([at - w.start[row[: len(at)]], sat]), np.concatenate([np.full(len(at), p.depth), sn])
+        o = np.lexsort((at, row))
+        self.row, self.at, self.length = row[o], at[o], length[o]
+        self.x = common.mix(x[o] ^ self.host[self.row]) >> SHIFT
+
+    def _identify(self, x: np.ndarray, row: np.ndarray, n: int) -> None:
+        """text: hash of each page's text. content: equal for copies and, by the sketch of their suffixes, for most near copies."""
+        self.text = np.array([xxhash.xxh64_intdigest(t) for t in self.texts], dtype=np.uint64)
+        self.content = self.text.copy()
+        if len(x):
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            acc = np.zeros(len(start), np.uint64)
+            for k in range(SKETCH):
+                acc = common.mix(acc ^ np.minimum.reduceat(common.mix(x ^ common.MULT[k]), start))
+            self.content[row[start]] = acc
 
 
 def host_key(h: np.ndarray) -> np.ndarray:
-    return common.mix(h ^ np.uint64(0xABCDEF))
+    return common.mix(h ^ np.uint64(0xABCDEF)) >> SHIFT
+
+
+SENT = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("of", pa.binary()), ("contents", pa.binary())])
 
 
 def suffix_counts(pages: DataFrame, p: Params) -> DataFrame:
-    """(x, n): on how many pages each sampled suffix is; a host's own key has its number of pages."""
+    """(x, n) of the keys that at least min_pages different contents of a host have; a host's own key has its number of different texts."""
+    shards = max(8, pages.count() // 8000)
 
     def run(batches):
         for b in common.chunks(batches, "html"):
             c = Pages(b.column("url").to_pylist(), b.column("html").to_pylist(), p)
-            o = np.lexsort((c.x, c.row))
-            x, row = c.x[o], c.row[o]
-            new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
-            x, n = np.unique(np.concatenate([x[new], host_key(c.host)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int32())], names=["x", "n"])
-
-    return pages.select("url", "html").mapInArrow(run, "x long, n int").groupBy("x").agg(F.sum("n").alias("n"))
-
-
-def uncovered(own: list[Block], places: list[int], pages_of: list[int], host_pages: int, p: Params) -> str:
-    """The text of a page's blocks without covered runs. places and pages_of: its sampled suffixes, ascending, and on how many pages each is (0: few)."""
+            ids, of = np.unique(np.concatenate([c.content, c.text]), return_inverse=True)
+            keys = np.concatenate([c.x, host_key(c.host)])
+            of = of[np.concatenate([c.row, np.arange(b.num_rows) + b.num_rows])]
+            s = common.distinct(keys << SHIFT | of.astype(np.uint64))
+            keys, of = s >> SHIFT, (s & np.uint64((1 << int(SHIFT)) - 1)).astype(np.int64)
+            cuts = np.searchsorted((keys >> np.uint64(KEY_BITS - 20)) * np.uint64(shards) >> np.uint64(20), np.arange(shards + 1))
+            rows = []
+            for k in range(shards):
+                own = slice(cuts[k], cuts[k + 1])
+                if cuts[k + 1] > cuts[k]:
+                    used, number = np.unique(of[own], return_inverse=True)
+                    rows.append((k, int(cuts[k + 1] - cuts[k]), pack(np.diff(keys[own], prepend=np.uint64(0))), pack(number), ids[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT)], schema=SENT)
+
+    def count(t: pa.Table) -> pa.Table:
+        parts = list(zip(*(t.column(k).to_pylist() for k in ("n", "keys", "of", "contents"))))
+        keys = [np.cumsum(unpack(k, n), dtype=np.uint64) for n, k, _, _ in parts]
+        s = np.sort(np.concatenate(keys))
+        cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        often = s[cut][np.diff(np.append(cut, len(s))) >= p.min_pages]
+        x, c = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for k, (n, _, of, ids) in zip(keys, parts):
+            if len(often):
+                on = np.flatnonzero(often[np.minimum(np.searchsorted(often, k), len(often) - 1)] == k)
+                x.append(k[on])
+                c.append(np.frombuffer(ids, np.uint64)[unpack(of, n)[on].astype(np.int64)])
+        x, c = np.concatenate(x), np.concatenate(c)
+        o = np.lexsort((c, x))
+        x, c = x[o], c[o]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (c[1:] != c[:-1])
+        x, n = np.unique(x[new], return_counts=True)
+        on = n >= p.min_pages
+        return pa.table([pa.array(x[on].view(np.int64)), pa.array(n[on], pa.int32())], names=["x", "n"])
+
+    sent = pages.select("url", "html").mapInArrow(run, "shard int, n long, keys binary, of binary, contents binary")
+    return sent.groupBy("shard").applyInArrow(count, "x long, n int")
+
+
+def uncovered(own: list[Block], runs: list[tuple[int, int, int]], host_texts: int, p: Params) -> str:
+    """The text of a page's blocks without covered runs. runs: place, length and number of contents of the keys that several contents of the host have."""
     article = any(b.article for b in own)
-    need = max(p.min_pages, p.share * host_pages) if article else p.min_pages
+    need = max(p.min_pages, p.share * host_texts) if article else p.min_pages
     tokens = [b.text.split(" ") for b in own]
-    n = sum(map(len, tokens))
-    covered = np.zeros(n, bool)
-    last = None
-    for a, c in zip(places, pages_of):
-        if c >= need:
-            covered[a if last is None else last : a + p.depth] = True  # what is between neighbours in the sample repeats with them
-            last = a
-        else:
-            last = None
-    if covered.any() and not (article and covered.sum() > 0.5 * n):
-        out, at = [], 0
-        for t in tokens:
-            kept = [w for w, c in zip(t, covered[at : at + len(t)].tolist()) if not c]
-            at += len(t)
-            if kept:
-                out.append(" ".join(kept))
-        return " ".join(out)
-    return " ".join(b.text for b in own)
+    covered = np.zeros(sum(map(len, tokens)), bool)
+    for at, n, contents in runs:
+        if contents >= need:
+            covered[at : at + n] = True
+    out, at = [], 0
+    for t in tokens:
+        kept = [w for w, c in zip(t, covered[at : at + len(t)].tolist()) if not c]
+        at += len(t)
+        if kept:
+            out.append(" ".join(kept))
+    return " ".join(out)
 
 
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
@@ -255,7 +301,7 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     common.small_batches(pages.sparkSession)
     spark = pages.sparkSession
     pages = pages.drop("text", "n_chars")
-    frequent = suffix_counts(pages, p).where(F.col("n") >= p.min_pages)
+    frequent = suffix_counts(pages, p)
     names = [c for c in pages.columns if c != "html"]
     schema = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     got = frequent.limit(p.most + 1).toArrow()
@@ -287,7 +333,7 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
             cut = np.searchsorted(c.row, np.arange(b.num_rows + 1))
             for i in np.unique(c.row[here > 0]).tolist():
                 part = slice(cut[i], cut[i + 1])
-                c.texts[i] = uncovered(c.blocks[i], c.at[part].tolist(), here[part].tolist(), hosts[i], p)
+                c.texts[i] = uncovered(c.blocks[i], list(zip(c.at[part].tolist(), c.length[part].tolist(), here[part].tolist())), hosts[i], p)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(c.texts, pa.string()), pa.array(list(map(len, c.texts)), pa.int64())], names=[*names, "text", "n_chars"])
 
     return pages.mapInArrow(run, schema)

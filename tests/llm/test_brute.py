@@ -56,6 +56,19 @@ def test_extraction_suffixes(spark):
     assert {x["page_id"]: x["text"] for x in extraction.extract(pages, p).collect()} == got
 
 
+def test_extraction_whole_runs(spark):
+    r = random.Random(9)
+    notice, line, long = "read this in our own words before you go on", "tell a friend", prose(r, 60)
+    a = [prose(r, 40) for _ in range(12)]
+    rows = [(i, f"http://a.example/{i}", f"<div>{line}</div><div>{t} {notice}</div>") for i, t in enumerate(a)]  # runs of 10 words and of 3
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><p>{t}</p><p>{long}</p></article>") for i, t in enumerate(a)]  # template over half of an article
+    copied = prose(r, 400)
+    rows += [(200 + i, f"http://c.example/{i}", f"<article><p>{copied} e{i}</p></article>") for i in range(8)]  # near copies
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: t for i, t in enumerate(a)} | {100 + i: t for i, t in enumerate(a)} | {200 + i: f"{copied} e{i}" for i in range(8)}
+    assert {x["page_id"]: x["text"] for x in extraction.extract(pages).collect()} == want
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------
 
 
