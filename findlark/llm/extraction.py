@@ -14,14 +14,14 @@ its own suffixes; shorter ones count only as whole blocks. What is counted are
 contents, not pages: pages with equal least hashes (``SKETCH`` of them) of their
 suffixes are copies of one content, so that equal pages always and near copies
 mostly count once, and a copied text is no template. Tokens with keys of at least
-``min_pages`` contents are boilerplate in pages without an article; inside an
-article they must also be of ``share`` as many contents as the host has texts.
+``min_pages`` contents, and of ``share`` as many as the host has texts, are
+boilerplate, with or without an article.
 
 Frequent suffixes are broadcast up to ``most`` of them; beyond that they are
 joined to the pages by a shuffle, with the same result.
 
-Defined results: null or empty html gives the empty text; a null or odd url
-makes a host of its own; equal pages count once and have equal texts; unclosed tags, comments and
+Defined results: null or empty html gives the empty text; an odd url
+makes a host of its own, and pages without a host are compared with none; equal pages count once and have equal texts; unclosed tags, comments and
 scripts end with the page.
 """
 
@@ -194,7 +194,9 @@ class Pages:
         self.texts = [" ".join(b.text for b in x) for x in self.blocks]
         w = common.Words(pa.array(self.texts, pa.string()))
         known: dict[str, int] = {}
-        self.host = np.array([known.setdefault(n, xxhash.xxh64_intdigest(n)) for n in map(host, urls)], dtype=np.uint64)
+        names = list(map(host, urls))
+        self.host = np.array([known.setdefault(n, xxhash.xxh64_intdigest(n)) for n in names], dtype=np.uint64)
+        self.named = np.array([n != "" for n in names], dtype=bool)
         x, at = w.windows(common.word_hashes(w.vocab), p.depth)
         row = w.row[at]
         self._identify(x, row, w.n)
@@ -210,6 +212,7 @@ class Pages:
         x, row = np.concatenate([x, sx]), np.concatenate([row, srow])
         at, length = np.concatenate([at - w.start[row[: len(at)]], sat]), np.concatenate([np.full(len(at), p.depth), sn])
         o = np.lexsort((at, row))
+        o = o[self.named[row[o]]]
         self.row, self.at, self.length = row[o], at[o], length[o]
         self.x = common.mix(x[o] ^ self.host[self.row]) >> SHIFT
 
@@ -280,8 +283,7 @@ def suffix_counts(pages: DataFrame, p: Params) -> DataFrame:
 
 def uncovered(own: list[Block], runs: list[tuple[int, int, int]], host_texts: int, p: Params) -> str:
     """The text of a page's blocks without covered runs. runs: place, length and number of contents of the keys that several contents of the host have."""
-    article = any(b.article for b in own)
-    need = max(p.min_pages, p.share * host_texts) if article else p.min_pages
+    need = max(p.min_pages, p.share * host_texts)
     tokens = [b.text.split(" ") for b in own]
     covered = np.zeros(sum(map(len, tokens)), bool)
     for at, n, contents in runs:

@@ -69,6 +69,18 @@ def test_extraction_whole_runs(spark):
     assert {x["page_id"]: x["text"] for x in extraction.extract(pages).collect()} == want
 
 
+def test_extraction_copies_without_article(spark):
+    r = random.Random(10)
+    copied, quoted = prose(r, 60), "a licence passage which only some of the pages quote at their end"
+    rows = [(i, "http://a.example/x", f"<div>{copied}</div>") for i in range(8)]
+    body = [prose(r, 40) for _ in range(40)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<div>{t}{' ' + quoted if i < 6 else ''}</div>") for i, t in enumerate(body)]
+    rows += [(200 + i, None, f"<div>{t} {quoted}</div>") for i, t in enumerate(body[:8])]  # pages without a host
+    want = {i: copied for i in range(8)} | {100 + i: t + (f" {quoted}" if i < 6 else "") for i, t in enumerate(body)} | {200 + i: f"{t} {quoted}" for i, t in enumerate(body[:8])}
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["text"] for x in got} == want
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------
 
 
