@@ -1,8 +1,9 @@
 """Operator 9: benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and stripped of punctuation; numbers, units after a
-number, and names (capitalised words inside a sentence) become typed
-placeholders. Windows of ``window`` such template tokens are hash-joined with
+number, and names become typed placeholders. A capitalised word inside a sentence
+is a name; one that begins a sentence may be, so texts are read both ways, each
+with windows and slots of its own. Windows of ``window`` such template tokens are hash-joined with
 the windows of the benchmark items, so a question with other numbers or names
 still meets its origin. A window counts only if its slots are consistent:
 along one alignment, equal slot values of the item must be equal in the
@@ -15,7 +16,8 @@ benchmark takes one pass over the documents for each block, so what is broadcast
 never shuffled.
 
 Defined results: null, empty and word-free texts match nothing; template windows with
-fewer than ``literals`` plain words are not evidence; words as they stand are compared too, so case alone hides nothing; an item shorter than a
+fewer than ``literals`` plain words are no evidence and go on to either side until they have
+as many (items with fewer in all are found as they stand); words as they stand are compared too, so case alone hides nothing; an item shorter than a
 window must be there as a whole; repeated rows give repeated results; of equal
 items each is reported; columns besides doc_id and text are ignored.
 """
@@ -31,10 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .ngramlm import _powers
 
-NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve hundred thousand million billion".split())
+_ONES = "one two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = frozenset([*_ONES, *_TENS, *(t + o for t in _TENS for o in _ONES), *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion trillion".split()])
 UNITS = frozenset("mm cm m km in ft mi kg g mg lb oz l ml s sec min h hr hour hours day days week weeks month months year years percent usd eur dollars euros mph kmh w kw v hz mb gb tb c f k meters metres kilometers kilometres miles grams kilograms liters litres seconds minutes".split())
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Readings of a text: words as they are; capitalised words inside a sentence as names; those that begin one, too.
+AS_IS, INSIDE, ALL = 0, 1, 2
 SLOT = np.array([0, 0x1234567, 0x89ABCDE, 0xF012345], dtype=np.uint64)
 
 
@@ -51,7 +58,7 @@ class Template:
         kind = np.zeros(len(words), np.int8)
         kind[np.asarray(pc.match_substring_regex(enc.dictionary, r"^\p{N}"), dtype=bool)] = NUMBER
         for i, x in enumerate(words):
-            if len(x) < 11 and not kind[i]:
+            if len(x) < 13 and not kind[i]:
                 if x in NUMBERS:
                     kind[i] = NUMBER
                 elif x in UNITS:
@@ -69,25 +76,45 @@ class Template:
         before = np.concatenate([[0], k[:-1]]) if len(ids) else k
         stopped = np.concatenate([[True], stop[ids][:-1]]) if len(ids) else same
         k = np.where((k == UNIT) & ~((before == NUMBER) & same), 0, k)
-        k = np.where((k == 0) & capital[ids] & same & ~stopped, NAME, k)
-        self.kind, self.value = k, value[to][ids]
-        self.hash = np.where(k > 0, SLOT[k], self.value)
+        name = (k == 0) & capital[ids]
+        self.kinds = {INSIDE: np.where(name & same & ~stopped, NAME, k), ALL: np.where(name, NAME, k)}
+        self.value = value[to][ids]
 
-    def windows(self, size: int, literals: int, typed: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of each window: of the template, where it has enough plain words, or of the words as they are, in whatever case."""
-        m = len(self.hash) - size + 1
+    def windows(self, size: int, literals: int, reading: int, extend: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first token and length of each window: of the template, where it has enough plain words, or of the words as they are (AS_IS), in whatever case. extend: template windows with too few plain words go on, to either side, until they have enough."""
+        m = len(self.value) - size + 1
         if m <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         ok = self.row[:m] == self.row[size - 1 :]
-        if typed:
-            ok &= (plain[size:] - plain[:m] >= min(literals, size)) & (plain[size:] - plain[:m] < size)
-        h = self.hash if typed else self.value
-        acc = np.full(m, np.uint64(typed))
+        h, few = self.value, np.empty(0, np.int64)
+        if reading != AS_IS:
+            kind = self.kinds[reading]
+            h = np.where(kind > 0, SLOT[kind], h)
+            plain = np.concatenate([[0], np.cumsum(kind == 0)])
+            n = plain[size:] - plain[:m]
+            if extend:
+                few = np.flatnonzero(ok & (n < literals))
+            ok &= (n >= min(literals, size)) & (n < size)
+        acc = np.full(m, np.uint64(reading))
         for j in range(size):
             acc += h[j : j + m] * common.MULT[j]
         at = np.flatnonzero(ok)
-        return common.mix(acc[at]), at
+        x, length = common.mix(acc[at]), np.full(len(at), size)
+        if len(few):
+            end = np.searchsorted(plain, plain[few] + literals)  # one past the last plain word needed
+            on = end <= len(self.value)
+            a, e = few[on], end[on]
+            want = plain[few + size] - literals
+            start = np.searchsorted(plain, want, side="right") - 1
+            on = want >= 0
+            a, e = np.concatenate([a, start[on]]), np.concatenate([e, few[on] + size])
+            on = self.row[a] == self.row[e - 1]
+            a, e = np.divmod(common.distinct(a[on] * (len(plain) + 1) + e[on]), len(plain) + 1)
+            up, down = _powers(1 << max(16, len(plain).bit_length()))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+            own = (total[e] - total[a]) * down[a] + common.MULT[63] * (e - a).astype(np.uint64) + np.uint64(reading)
+            x, at, length = np.concatenate([x, common.mix(own)]), np.concatenate([at, a]), np.concatenate([length, e - a])
+        return x, at, length
 
 
 @dataclass
@@ -96,17 +123,17 @@ class Index:
     literals: int
     least: float
     item_ids: list[int]
-    kinds: list[np.ndarray]
+    kinds: dict[int, list[np.ndarray]]  # by reading
     values: list[np.ndarray]
-    tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by size and whether typed: sorted hashes, item, place, filter
+    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by size and reading: sorted hashes, item, place, filter
 
     @staticmethod
     def build(item_ids: list[int], texts: list[str | None], window: int, literals: int, least: float) -> "Index":
         t = Template(pa.array(texts, pa.string()))
         part = lambda a: np.split(a, t.start[1:]) if len(t.start) else []
         tables = {}
-        for size, typed in ((s, y) for s in sorted({min(window, int(n)) for n in t.count if n}) for y in (False, True)):
-            h, at = t.windows(size, literals, typed)
+        for size, reading in ((s, y) for s in sorted({min(window, int(n)) for n in t.count if n}) for y in (AS_IS, INSIDE, ALL)):
+            h, at, _ = t.windows(size, literals, reading, size == window)
             row = t.row[at] if len(at) else np.empty(0, np.int64)
             own = np.minimum(t.count, window)[row] == size
             h, at, row = h[own], at[own], row[own]
@@ -114,27 +141,28 @@ class Index:
             h, at, row = h[o], at[o], row[o]
             seen = np.zeros(1 << 20, bool)
             seen[h >> np.uint64(44)] = True
-            tables[size, typed] = (h, row, at - t.start[row], seen)
-        return Index(window, literals, least, item_ids, part(t.kind), part(t.value), tables)
+            tables[size, reading] = (h, row, at - t.start[row], seen)
+        return Index(window, literals, least, item_ids, {y: part(k) for y, k in t.kinds.items()}, part(t.value), tables)
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         """(text, item, share of the item's tokens, first and end token in the text, changed slots) of each item found."""
         t = Template(texts)
-        hits: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for (size, typed), (keys, items, places, seen) in self.tables.items():
-            h, at = t.windows(size, self.literals, typed)
+        hits: dict[tuple[int, int, int, int], list[tuple[int, int]]] = {}
+        for (size, reading), (keys, items, places, seen) in self.tables.items():
+            h, at, length = t.windows(size, self.literals, reading, size == self.window)
             near = seen[h >> np.uint64(44)]
-            h, at = h[near], at[near]
+            h, at, length = h[near], at[near], length[near]
             a, b = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
             some = np.flatnonzero(b > a)
-            for x, y, p in zip(a[some].tolist(), b[some].tolist(), at[some].tolist()):
+            for x, y, p, n in zip(a[some].tolist(), b[some].tolist(), at[some].tolist(), length[some].tolist()):
                 r = int(t.row[p])
                 for z in range(x, y):
                     q = int(places[z])
-                    hits.setdefault((r, int(items[z]), p - int(t.start[r]) - q), []).append((q, size))
+                    for own in (INSIDE, ALL) if reading == AS_IS else (reading,):
+                        hits.setdefault((r, int(items[z]), p - int(t.start[r]) - q, own), []).append((q, n))
         got: dict[tuple[int, int], list] = {}
-        for (r, item, shift), runs in hits.items():
-            kinds, values = self.kinds[item], self.values[item]
+        for (r, item, shift, reading), runs in hits.items():
+            kinds, values = self.kinds[reading][item], self.values[item]
             base = int(t.start[r]) + shift
             # Slots of all windows of this alignment: which values of the item meet which of the document.
             places = sorted({j for q, size in runs for j in range(q, q + size) if kinds[j]})
@@ -157,7 +185,7 @@ class Index:
                 one[3] |= changed
         out = []
         for (r, item), (covered, first, end, changed) in got.items():
-            share = len(covered) / len(self.kinds[item])
+            share = len(covered) / len(self.values[item])
             if share >= self.least:
                 out.append((r, item, share, first, end, len(changed)))
         return sorted(out)

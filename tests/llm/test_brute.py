@@ -422,6 +422,17 @@ def test_decontamination_finds_planted():
     assert want <= got and len(got - want) <= 2 and want
 
 
+def test_decontamination_names_that_begin_sentences(spark):
+    r = random.Random(7)
+    pad = lambda: prose(r, 40, 5000)
+    items = [(1, "Alice has 12 apples. Bob has 5 pears. Carol has 9 plums."), (2, "Add 3 4 5 6 7 8 9 10 and then take 2 3 4 5 6 7 8 9 away"), (3, "the shop sells exactly fifteen boxes with thirty-four pens in every week")]
+    docs = [(1, f"{pad()}. Dave has 7 apples. Erin has 20 pears. Frank has 4 plums. {pad()}"), (2, f"{pad()} add 13 14 15 16 17 18 19 20 and then take 12 13 14 15 16 17 18 19 away {pad()}")]
+    docs += [(3, f"{pad()} the shop sells exactly 80 boxes with ninety-one pens in every week"), (4, f"{pad()}. Dave has 7 apples. Dave has 7 pears. Dave has 7 plums. {pad()}"), (5, "Erin has 7 apples. Erin sees 8 pears.")]
+    # 4: one slot's values meet several; 2: 3-9 stand in both rows, as 13-19 do
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(1, 1), (2, 2), (3, 3)} and all(x["changed_slots"] > 0 for x in got)
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------------
 
 
