@@ -30,13 +30,14 @@ from .automaton import Dfa, longest, scan_back
 
 @dataclass(frozen=True)
 class Rule:
-    """least: matches with fewer characters are dropped. value: pattern whose group 1 is the secret, which needs least_value characters."""
+    """more: what a match may go on with, the longest way. least: matches with fewer characters are dropped. value: pattern whose group 1 is the secret, which needs least_value characters."""
 
     kind: str
     pattern: str
     least: int = 1
     value: str = ""
     least_value: int = 0
+    more: str = ""
 
 
 _WORD = "(?i:password|passwd|secret|token|api_?key)"
@@ -47,8 +48,10 @@ BASE = (
     # As long runs only: the leftmost maximal runs of 24 or more are the same.
     Rule("hex", "[0-9a-f]{24,}", least=24),
 )
+_BODY = "A-Za-z0-9+/=:,\\\\\\x09\\x0A\\x0D\\x20"
 MORE = (
-    Rule("pem", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"),
+    # The key to its END line; without one, the full lines of base64 that follow.
+    Rule("pem", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", more=f"([{_BODY}]|-[{_BODY}])*-----END\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----|([\\x09\\x0A\\x0D\\x20]*[A-Za-z0-9+/=]{{32,}})+"),
     Rule("hosting", "gh[opusr]_[A-Za-z0-9]+", least=40),
     Rule("jwt", "eyJ[A-Za-z0-9_\\-]+\\.eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9\\-]+", least=20),
@@ -63,7 +66,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.all = Dfa([r.pattern for r in rules], reverse=True)
-        self.each = [Dfa([r.pattern], anchored=True) for r in rules]
+        self.each = [Dfa([f"{r.pattern}({r.more})?" if r.more else r.pattern], anchored=True) for r in rules]
         self.value = [re.compile(r.value) if r.value else None for r in rules]
 
     def spans(self, texts: pa.Array) -> dict[int, list[tuple[int, int, int]]]:

@@ -202,6 +202,16 @@ def test_redaction(spark):
     assert [tuple(x) for x in secrets.redact(d).orderBy("doc_id").collect()] == [(1, "k: [assign] é end", 17), (2, None, None), (3, "clean", 5)]
 
 
+def test_whole_private_key_is_redacted(spark):
+    lines = "\n".join(["MIIEowIBAAKCAQEA+/x9" + "Ab1" * 14] * 3 + ["Qw=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"é one\n{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,A0B1\n\n{lines}\n{end}\nand {head}\n{lines}\n{end} two", f"{head} alone, and words", f"cut {head}\n{lines[:100]}", f"{head}\\n{lines}\\n{end}."]
+    got = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["text"] for x in got] == ["é one\n[pem]\nand [pem] two", "[pem] alone, and words", "cut [pem]", "[pem]."]
+    spans = secrets.scan(spark.createDataFrame([(0, texts[3])], "doc_id long, text string")).first()["spans"]
+    assert spans.split(",")[0] == f"pem:0:{len(texts[3]) - 1}"
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------
 
 
