@@ -5,7 +5,8 @@ of their first four and five letters, of neighbouring words and of words with
 one between. Training sees a bounded sample of labelled rows (``per_class`` of
 each class, by a hash of doc_id), one document at a time, with per-coordinate
 rates and L1 sparsity, so the weights that are broadcast are the few hundred or
-thousand that are not zero (2^20 at most). Scoring is one narrow pass.
+thousand that are not zero (2^20 at most). The bias is corrected by the shares of the
+classes that the sample has, so that scores keep to the odds of all labelled rows. Scoring is one narrow pass.
 
 Defined results: null and empty texts score as the bias alone; rows of labels
 that disagree on a document count by their majority (a tie is toxic); without
@@ -86,9 +87,14 @@ def held_out(doc_id, mod: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(True))
 
 
+def learnable(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, y) of all labelled documents that may be learned from."""
+    return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(F.col(column).cast("double")) >= 0.5).cast("int").alias("y"))
+
+
 def sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """(doc_id, y): at most per_class documents of each class that may be learned from, chosen by a hash of doc_id."""
-    y = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(F.col(column).cast("double")) >= 0.5).cast("int").alias("y"))
+    y = learnable(labels, column)
     by = F.xxhash64("doc_id", F.lit(7))
     return y.where("y = 1").orderBy(by, "doc_id").limit(per_class).unionByName(y.where("y = 0").orderBy(by, "doc_id").limit(per_class))
 
@@ -110,6 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> tuple[np
     if not got:
         return np.empty(0, np.int64), np.empty(0)
     w = ftrl([(np.frombuffer(r["slots"], dtype=np.int32), r["y"]) for r in got])
+    n = {r["y"]: r["n"] for r in learnable(labels, "toxic").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) == 2:  # the odds of all labelled rows in place of those of the sample
+        w[BIAS] += np.log(min(per_class, n[0]) / n[0]) - np.log(min(per_class, n[1]) / n[1])
     on = np.flatnonzero(w)
     return on, w[on]
 

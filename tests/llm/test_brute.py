@@ -365,6 +365,13 @@ def test_toxicity_held_out(spark):
     assert ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_toxicity_keeps_the_odds_of_all_labels(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "'' as text")
+    labels = spark.range(2000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as toxic")
+    bias = [dict(zip(*map(np.ndarray.tolist, toxicity.train(docs, labels, per_class=k))))[toxicity.BIAS] for k in (50, 4000)]
+    assert all(0.05 < 1 / (1 + math.exp(-b)) < 0.2 for b in bias)  # one in ten, sampled or not
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------
 
 
