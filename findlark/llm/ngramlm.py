@@ -1,22 +1,36 @@
-"""Operator 10: unbounded n-gram scoring over sharded, sorted suffix tables.
-
-A plain sharded suffix array asks every shard about every query, which is
-quadratic when all documents are scored. Here shards are ranges of suffix keys
-instead: the suffix of the training corpus at each place is keyed by
-fingerprints of its first 1, 2, 3, 4 tokens, and of 8, 9, 32, 33, 128, 129, ...
-where those before it are shared; a shard holds the sorted keys of one length
-and range, and a query finds its range by binary search in the one shard that
-can have it. So contexts have the lengths 1, 2, 3, 8, 32, 128, ... without
-bound, and a token is scored from all of them that occur, the longest weighing
-most:  p_n = (count(context w) + weight_n * p_shorter) / (count(context) + weight_n).
-
-Three passes over the texts: keys of length 1-4 go to the shards (sorted, delta
-coded and compressed for each chunk of texts, counted before they are sent) and
-their counts come back; places inside runs of shared 4-grams ask for the longer
-contexts; the last pass adds up the scores. Counts cover every training
-document. The answers for a file split are written to the shared checkpoint
-folder, where the task that reads that split finds them; a checksum of the keys
-guards against a split that changed in between.
+"""Operator 10: unbounded n-gram scoring, from the longest context of every token that the corpus has.
+
+A sharded suffix array that is asked about every token by every text would be
+quadratic when all texts are scored. Here shards are ranges of suffix keys:
+strings of tokens travel as fingerprints, distinct in a chunk of texts with
+their counts, to the one sorted shard that can have them, and a binary search
+there gives their count in the whole corpus.
+
+Which strings have to be asked is what a suffix tree would branch at:
+
+1. All strings of 1-4 tokens are counted. Runs of 4-grams that other places
+   share bound every longer match.
+2. Inside them windows of n = 4, 8, 32, 128, ... tokens and of n + 1 are counted.
+   They tell for each window whether its occurrences differ in the token before
+   it (it is a start) or after it (it is an end). Both are properties of the
+   string, so all its occurrences agree on them.
+3. The longest context of a token begins at a start (what has it elsewhere
+   differs just before, else it would be longer), and a string's count stays
+   the same up to the next end. So strings from a start to an end, with lengths
+   from n up to the next window size, are all that is counted: a passage in a
+   thousand texts is a string or two in each.
+4. The longest context of a token is found by binary search over the starts
+   before it (counts fall with length). It is exact at every length.
+
+The probability of a token: p_0 is the base model's; for n = 1, 2, 3
+p_n = (count(context w) + weight_n * p_(n-1)) / (count(context) + weight_n), and then the
+same from the longest context alone, if it has 4 tokens or more. The counts of contexts
+are those of all other places of the training part: a training text's own place is
+taken out, or each would only find itself.
+
+Counts cover every training document. The answers for a file split are written
+to the shared checkpoint folder, where the task that reads that split finds
+them; a checksum of the keys guards against a split that changed in between.
 
 Defined results: null and empty text is the end token alone; a null doc_id is
 held out; repeated rows train as often as they come; without training documents
@@ -41,17 +55,24 @@ from pyspark.sql import functions as F
 from . import common
 
 SHORT = (1, 2, 3, 4)
-#: Smoothing by context length; chosen on held-out documents of the sample tables.
+#: Smoothing by context length, and of longest contexts of 4-7 tokens and of more; chosen on held-out documents of the sample tables.
 WEIGHT = {1: 2000.0, 2: 200.0, 3: 3.0}
-DEEP_WEIGHT = 0.2
+LONG_WEIGHT = ((4, 1.0), (8, 0.2))
 B = 0x9E3779B97F4A7C15 | 1
+#: Levels of answers: lengths of windows, and this one for strings from starts to ends.
+SPANS = 0
 
 
-def deep_lengths(most: int) -> list[int]:
-    out, n = [], 8
+def next_window(n: int) -> int:
+    return 8 if n == 4 else 4 * n
+
+
+def windows(most: int) -> list[int]:
+    """4, 8, 32, 128, ... up to most."""
+    out, n = [], 4
     while n <= most:
         out.append(n)
-        n *= 4
+        n = next_window(n)
     return out
 
 
@@ -95,6 +116,10 @@ class Tokens:
     def key(self, n: int, at: np.ndarray) -> np.ndarray:
         return common.mix((self.sum[at + 1] - self.sum[at + 1 - n]) * self.down[at] + np.uint64(n * int(common.MULT[7]) % (1 << 64))) >> self.bits
 
+    def span(self, s: np.ndarray, e: np.ndarray, n: int) -> np.ndarray:
+        """Fingerprints of the tokens from places s up to before e, as strings of the level of windows of n tokens."""
+        return common.mix((self.sum[e] - self.sum[s]) * self.down[e - 1] + (e - s).astype(np.uint64) * common.MULT[7] + np.uint64(n * int(common.MULT[8]) % (1 << 64))) >> self.bits
+
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The vocabulary entries in use and their fingerprints: key(1, at) by word instead of by place."""
         used = np.flatnonzero(np.bincount(self.ids, minlength=len(self.h)))
@@ -104,24 +129,25 @@ class Tokens:
         return np.flatnonzero(self.before >= n - 1)
 
 
-def _distinct(keys: np.ndarray, train: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys; 2 x training places + whether others have it."""
+def _distinct(keys: np.ndarray, train: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct keys; how many training and other places have each."""
     if bits < 64:
         s = np.sort(keys << np.uint64(1) | train.astype(np.uint64))
         k, t = s >> np.uint64(1), (s & np.uint64(1)).astype(np.int64)
     else:
         o = np.argsort(keys)
         k, t = keys[o], train[o].astype(np.int64)
-    return _grouped(k, t, np.ones(len(k), np.int64))
+    return _grouped(k, t, None)
 
 
-def _grouped(k: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As _distinct, of ascending keys that stand for n places each, t of them in training."""
-    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    if not len(cut):
-        return k, t
+def _grouped(k: np.ndarray, t: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _distinct, of ascending keys that stand for n places each (None: one), t of them in training."""
+    if not len(k):
+        return k, t, t
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     c = np.add.reduceat(t, cut)
-    return k[cut], 2 * c + (np.add.reduceat(n, cut) > c)
+    every = np.diff(np.append(cut, len(k))) if n is None else np.add.reduceat(n, cut)
+    return k[cut], c, every - c
 
 
 def _distinct_words(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -135,30 +161,30 @@ SENT = "level int, shard int, split string, ord int, n long, crc long, keys bina
 SENT_SCHEMA = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("split", pa.string()), ("ord", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _send(rows: list, level: int, counted: tuple[np.ndarray, np.ndarray], split: str, ord_: int, shards: int, bits: int) -> None:
-    k, c = counted
+def _send(rows: list, level: int, counted: tuple[np.ndarray, np.ndarray, np.ndarray], split: str, ord_: int, shards: int, bits: int) -> None:
+    k, c, d = counted
     cuts = np.searchsorted((k >> np.uint64(bits - 20)) * np.uint64(shards) >> np.uint64(20), np.arange(shards + 1))
     for s in range(shards):
         a, e = cuts[s], cuts[s + 1]
         if e > a:
             own = k[a:e]
-            rows.append((level, s, split, ord_, int(e - a), zlib.crc32(own.tobytes()), pack(np.diff(own, prepend=np.uint64(0))), pack(c[a:e])))
+            rows.append((level, s, split, ord_, int(e - a), zlib.crc32(own.tobytes()), pack(np.diff(own, prepend=np.uint64(0))), pack(np.concatenate([c[a:e], d[a:e]]))))
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """One shard of one length: the total count of each key that a chunk sent, in its order, and of all keys (N, V) of the training part."""
+    """One shard of one level: the total counts of each key that a chunk sent, in its order (training places, then others), and of all words (N, V) of the training part."""
     level, shard = t.column("level")[0].as_py(), t.column("shard")[0].as_py()
     n = t.column("n").to_pylist()
     keys = [np.cumsum(unpack(r, m), dtype=np.uint64) for r, m in zip(t.column("keys").to_pylist(), n)]
-    counts = [unpack(r, m) for r, m in zip(t.column("counts").to_pylist(), n)]
     table = common.distinct(np.concatenate(keys))
-    total, held = np.zeros(len(table), np.int64), np.zeros(len(table), bool)
-    at = [np.searchsorted(table, k) for k in keys]
-    for i, c in zip(at, counts):
-        total[i] += (c >> np.uint64(1)).astype(np.int64)
-        held[i] |= (c & np.uint64(1)) == 1
-    reply = (2 * total + held).astype(np.uint64)
-    out = [[split, o, level, shard, m, crc, pack(reply[i]), 0, 0] for split, o, m, crc, i in zip(t.column("split").to_pylist(), t.column("ord").to_pylist(), n, t.column("crc").to_pylist(), at)]
+    total, rest = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
+    at = [np.searchsorted(table, k).astype(np.int32 if len(table) < 1 << 31 else np.int64) for k in keys]
+    del keys
+    for i, raw, m in zip(at, t.column("counts"), n):
+        c = unpack(raw.as_py(), 2 * m).astype(np.int64)
+        total[i] += c[:m]
+        rest[i] += c[m:]
+    out = [[split, o, level, shard, m, crc, pack(np.concatenate([total[i], rest[i]])), 0, 0] for split, o, m, crc, i in zip(t.column("split").to_pylist(), t.column("ord").to_pylist(), n, t.column("crc").to_pylist(), at)]
     if level == 1:
         out.append(["stats", 0, 1, shard, 0, 0, b"", int(total.sum()), int((total > 0).sum())])
     names = [x.split()[0] for x in REPLY.split(", ")]
@@ -170,27 +196,31 @@ REPLY = "split string, ord int, level int, shard int, n long, crc long, data bin
 
 
 class Replies:
-    """Answers for one split, from the folder that answers were written to."""
+    """Answers for one split, from the folder that answers were written to; a chunk's are read when it is its turn."""
 
     def __init__(self, path: str, split: str):
         fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         folder = f"{base}/split={split}"
-        self.parts: dict[tuple[int, int], list] = {}
-        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
-            t = pads.dataset(folder, filesystem=fs, format="parquet").to_table()
-            for r in t.to_pylist():
-                self.parts.setdefault((r["ord"], r["level"]), []).append((r["shard"], r["n"], r["crc"], r["data"]))
-
-    def of(self, ord_: int, level: int, keys: np.ndarray) -> np.ndarray:
-        """The answer (2 x training count + held-out flag) for each of the keys that were sent."""
+        self.data = pads.dataset(folder, filesystem=fs, format="parquet") if fs.get_file_info(folder).type != pafs.FileType.NotFound else None
+        self.ord, self.parts = -1, {}
+
+    def _read(self, ord_: int) -> None:
+        if ord_ != self.ord:
+            self.ord, self.parts = ord_, {}
+            if self.data is not None:
+                for r in self.data.to_table(columns=["level", "shard", "n", "crc", "data"], filter=pads.field("ord") == ord_).to_pylist():
+                    self.parts.setdefault(r["level"], []).append((r["shard"], r["n"], r["crc"], r["data"]))
+
+    def of(self, ord_: int, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many training and other places have each of the keys that were sent."""
+        self._read(ord_)
         order = np.argsort(keys)
         table = keys[order]
         new = np.ones(len(table), bool)
         new[1:] = table[1:] != table[:-1]
         table, group = table[new], np.cumsum(new) - 1
-        parts = sorted(self.parts.get((ord_, level), ()), key=lambda p: p[0])
-        got = [unpack(d, n) for _, n, _, d in parts]
-        got = np.concatenate(got) if got else np.empty(0, np.uint64)
+        parts = sorted(self.parts.get(level, ()), key=lambda p: p[0])
+        got = [unpack(d, 2 * n).astype(np.int64) for _, n, _, d in parts]
         at = 0
         for _, n, crc, _ in parts:
             if zlib.crc32(table[at : at + n].tobytes()) != crc:
@@ -198,9 +228,13 @@ class Replies:
             at += n
         if at != len(table):
             raise RuntimeError("a file split changed between the passes")
-        out = np.empty(len(keys), np.int64)
-        out[order] = got.astype(np.int64)[group]
-        return out
+        out = []
+        for k in range(2):
+            v = np.concatenate([np.empty(0, np.int64), *(g[k * n : k * n + n] for g, (_, n, _, _) in zip(got, parts))])
+            own = np.empty(len(keys), np.int64)
+            own[order] = v[group]
+            out.append(own)
+        return out[0], out[1]
 
 
 def _chunks(batches, bits: int):
@@ -222,38 +256,149 @@ def _chunks(batches, bits: int):
 
 
 class Short:
-    """Answers for lengths 1-4 at every place (0 where there is none), and the run of shared 4-grams that ends at each place."""
+    """Counts of the strings of 1-4 tokens that end at each place (0 where there is none), in training and elsewhere, and the run of shared 4-grams that ends there."""
 
     def __init__(self, t: Tokens, replies: Replies, ord_: int):
-        self.count = {}
+        self.train, self.rest = {}, {}
         used, keys = t.words()
-        of_word = np.zeros(len(t.h), np.int64)
-        of_word[used] = replies.of(ord_, 1, keys)
-        self.count[1] = of_word[t.ids]
+        for name, got in zip(("train", "rest"), replies.of(ord_, 1, keys)):
+            of_word = np.zeros(len(t.h), np.int64)
+            of_word[used] = got
+            getattr(self, name)[1] = of_word[t.ids]
         for n in SHORT[1:]:
             at = t.places(n)
-            self.count[n] = np.zeros(t.n, np.int64)
-            self.count[n][at] = replies.of(ord_, n, t.key(n, at))
-        c = self.count[4]
-        shared = np.where(t.train, c >= 4, c >= 2) | (t.train & (c % 2 == 1) & (c > 0))
-        shared &= t.before >= 3
-        stop = np.where(~shared, np.arange(t.n), -1)
-        self.run = np.arange(t.n) - np.maximum.accumulate(stop) if t.n else stop
-
-    def deep(self, t: Tokens):
-        """(length, places whose context of that length may be shared) until there are none."""
-        for n in deep_lengths(int(t.before.max()) if t.n else 0):
-            at = np.flatnonzero(t.before >= n)
-            at = at[self.run[at - 1] >= n - 3]
-            if not len(at):
-                return
-            yield n, at
+            for name, got in zip(("train", "rest"), replies.of(ord_, n, t.key(n, at))):
+                own = getattr(self, name)[n] = np.zeros(t.n, np.int64)
+                own[at] = got
+        del self.rest[1], self.rest[2], self.rest[3]
+        self.run = runs(shared(t, self.train[4], self.rest[4]))
+
+    def asked(self, t: Tokens, n: int) -> np.ndarray:
+        """The places where strings of n tokens end that may occur elsewhere."""
+        return np.flatnonzero((t.before >= n - 1) & (self.run >= n - 3))
+
+
+def shared(t: Tokens, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Whether a string at each place is of use: a training place's, if any other place has it; another's, if a training place has it."""
+    return np.where(t.train, train + rest >= 2, train >= 1)
+
+
+def runs(ok: np.ndarray) -> np.ndarray:
+    """How many places up to each, itself included, are ok without a gap."""
+    at = np.arange(len(ok))
+    return at - np.maximum.accumulate(np.where(ok, -1, at)) if len(ok) else at
+
+
+def sent_windows(t: Tokens) -> list[int]:
+    """Lengths of windows that are counted besides those of Short."""
+    most = int(t.before.max()) + 1 if t.n else 0
+    return sorted({m for n in windows(most) for m in (n, n + 1)} - {4})
+
+
+class Level:
+    """Windows of n tokens of a chunk: train (training places with the window that ends at each place), shared, starts and ends, and the strings between them."""
+
+    def __init__(self, t: Tokens, short: Short, deep: Replies, ord_: int, n: int):
+        self.n, self.next = n, next_window(n)
+        self.train, rest = (short.train[4], short.rest[4]) if n == 4 else window_counts(t, short, deep, ord_, n)
+        self.shared = ok = shared(t, self.train, rest)
+        longer = np.ones(t.n, np.int64)  # of the window and the token before it; its own occurrence at least
+        at = short.asked(t, n + 1)
+        longer[at] = np.add(*deep.of(ord_, n + 1, t.key(n + 1, at)), dtype=np.int64)
+        every = self.train + rest
+        last = t.start[t.row] + t.count[t.row] - 1
+        place = np.arange(t.n)
+        follow = np.append(longer[1:], 1)
+        self.starts = np.flatnonzero(ok & ((t.before == n - 1) | (longer < every)))  # places where their windows end
+        self.ends = np.flatnonzero(ok & ((place == last) | (follow < every)))
+        stop = np.where(ok, t.n, place)
+        stop = np.minimum.accumulate(stop[::-1])[::-1] if t.n else stop  # the first place from each on that is not shared
+        self.lo = np.searchsorted(self.ends, self.starts)
+        far = np.searchsorted(self.ends, self.starts + (self.next - 1 - n)) + 1
+        self.hi = np.minimum(far, np.searchsorted(self.ends, stop[self.starts]))
+        size = self.hi - self.lo
+        self.first = np.cumsum(size) - size
+        self.size = int(size.sum())
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """From each start, the strings to the ends up to the next window size and to the one after: their first places, and those after their last."""
+        size = self.hi - self.lo
+        ends = self.ends[np.arange(self.size) + np.repeat(self.lo - self.first, size)]
+        return np.repeat(self.starts + 1 - self.n, size), ends + 1
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the strings from starts to ends (both as numbers)."""
+        return self.first[start] + end - self.lo[start]
+
+
+def window_counts(t: Tokens, short: Short, deep: Replies, ord_: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    at = short.asked(t, n)
+    out = t.train.astype(np.int64), (~t.train).astype(np.int64)
+    for own, got in zip(out, deep.of(ord_, n, t.key(n, at))):
+        own[at] = got
+    return out
+
+
+def levels(t: Tokens, short: Short, deep: Replies, ord_: int):
+    """The levels of a chunk that have shared windows."""
+    for n in windows(int(t.before.max()) + 1 if t.n else 0):
+        level = Level(t, short, deep, ord_, n)
+        if not level.shared.any():
+            return
+        yield level
+
+
+def all_strings(t: Tokens, found: list[Level]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all strings between starts and ends, and whether they are of the training part."""
+    got = [level.strings() for level in found]
+    keys = [t.span(s, e, level.n) for level, (s, e) in zip(found, got)]
+    return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, bool), *(t.train[s] for s, _ in got)])
+
+
+def longest(t: Tokens, found: list[Level], strings: Replies, ord_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place: the length of the longest context that another training place has (0 where it has fewer than 4 tokens), how many have it, and how many of them go on with the place's token."""
+    length, context, both = (np.zeros(t.n, np.int64) for _ in range(3))
+    of = strings.of(ord_, SPANS, all_strings(t, found)[0])[0]
+    own = t.train.astype(np.int64)
+    base, before = 0, None
+    for x in found:
+        n = x.n
+        if before is not None:  # of contexts one token short of this window size
+            on = before[0]
+            both[on] = np.maximum(0, np.where(x.shared[on], x.train[on] - own[on], 0))
+        others = of[base : base + x.size] - own[np.repeat(x.starts, x.hi - x.lo)]
+        base += x.size
+        # Places after a window that another training place has.
+        at = np.flatnonzero(x.shared[:-1] & (t.before[1:] >= n) & (x.train[:-1] > own[:-1])) + 1
+        last = at - 1
+        end = np.searchsorted(x.ends, last)
+        top = np.searchsorted(x.starts, last, side="right") - 1
+        floor = np.maximum(np.searchsorted(x.starts, last - (x.next - 1 - n)), np.searchsorted(x.starts, last - runs(x.shared)[last] + 1))
+        at, last, end, top, floor = (v[floor <= top] for v in (at, last, end, top, floor))
+        lo, hi = floor, top
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            yes = others[x.of(mid, end)] > 0
+            lo, hi = np.where(yes, lo, mid + 1), np.where(yes, mid, hi)
+        c = others[x.of(lo, end)]
+        good = c > 0
+        at, last, end, lo, c = (v[good] for v in (at, last, end, lo, c))
+        length[at], context[at] = last - x.starts[lo] + n, c
+        # The string that has the place's token as well: the same count before an end.
+        goes = np.where(x.ends[end] > last, c, 0)
+        turn = (x.ends[end] == last) & x.shared[at]
+        fits = turn & (length[at] + 1 < x.next)
+        goes[fits] = others[x.of(lo[fits], np.minimum(end[fits] + 1, len(x.ends) - 1))]
+        both[at] = goes
+        before = (at[turn & (length[at] + 1 == x.next)],)
+    return length, context, both
 
 
 def _stored(rows: DataFrame, base: str, name: str, shards: int) -> str:
     path = f"{base}/{name}"
     answers = rows.groupBy("level", "shard").applyInArrow(_answer, REPLY)
-    answers.repartition(max(1, shards), "split").write.partitionBy("split").parquet(path)
+    # A split's answers are one file in the order of its chunks, whose row groups are small enough to read one chunk at a time.
+    answers.repartition(max(1, shards), "split").sortWithinPartitions("split", "ord").write.option("parquet.block.size", 4 << 20).partitionBy("split").parquet(path)
     return path
 
 
@@ -271,7 +416,7 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
         docs = spark.read.parquet(f"{base}/docs")
     n_docs = docs.count()
     bits = 46 if n_docs < 1 << 24 else 64
-    shards = shards or min(1 << 16, max(8, n_docs // 2000))
+    shards = shards or max(8, n_docs // 2000)
     keyed = docs.withColumn("_file", F.input_file_name()).withColumn("_start", F.input_file_block_start())
 
     def first(batches):
@@ -292,50 +437,56 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
         for split, ord_, _, t in _chunks(batches, bits):
             if split != of:
                 replies, of = Replies(short, split), split
-            rows = []
-            for n, at in Short(t, replies, ord_).deep(t):
-                _send(rows, n, _distinct(t.key(n, at - 1), t.train[at], bits), split, ord_, shards, bits)
-                _send(rows, n + 1, _distinct(t.key(n + 1, at), t.train[at], bits), split, ord_, shards, bits)
+            rows, own = [], Short(t, replies, ord_)
+            for n in sent_windows(t):
+                at = own.asked(t, n)
+                if not len(at):
+                    break
+                _send(rows, n, _distinct(t.key(n, at), t.train[at], bits), split, ord_, shards, bits)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
 
     deep = _stored(keyed.mapInArrow(second, SENT), base, "deep", shards)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    spark.sparkContext._jvm.System.gc()
 
     def third(batches):
         replies = more = of = None
-        for split, ord_, b, t in _chunks(batches, bits):
+        for split, ord_, _, t in _chunks(batches, bits):
             if split != of:
                 replies, more, of = Replies(short, split), Replies(deep, split), split
+            rows = []
+            keys, train = all_strings(t, list(levels(t, Short(t, replies, ord_), more, ord_)))
+            if len(keys):
+                _send(rows, SPANS, _distinct(keys, train, bits), split, ord_, shards, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
+
+    spans = _stored(keyed.mapInArrow(third, SENT), base, "spans", shards)
+    spark.sparkContext._jvm.System.gc()
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def fourth(batches):
+        replies = more = most = of = None
+        for split, ord_, b, t in _chunks(batches, bits):
+            if split != of:
+                replies, more, most, of = Replies(short, split), Replies(deep, split), Replies(spans, split), split
             s = Short(t, replies, ord_)
-            c = {n: v >> 1 for n, v in s.count.items()}
+            c, own = s.train, t.train.astype(np.int64)
             base_p = (c[1] + 0.1) / (N + 0.1 * (V + 1))
             p = base_p.copy()
             for n in (1, 2, 3):
                 at = np.flatnonzero(t.before >= n)
-                ctx, both = c[n][at - 1], c[n + 1][at]
+                ctx, both = c[n][at - 1] - own[at], c[n + 1][at] - own[at]
                 on = ctx > 0
                 at, ctx, both = at[on], ctx[on], both[on]
                 p[at] = (both + WEIGHT[n] * p[at]) / (ctx + WEIGHT[n])
-            asked = dict(s.deep(t))
-            for n in deep_lengths(int(t.before.max()) if t.n else 0):
-                ctx, both = np.zeros(t.n, np.int64), np.zeros(t.n, np.int64)
-                alone = t.train & (t.before >= n)  # a training place not shared with any other has itself
-                ctx[alone] = both[alone] = 1
-                if n in asked:
-                    at = asked[n]
-                    ctx[at] = replies_of(more, ord_, n, t.key(n, at - 1))
-                    both[at] = replies_of(more, ord_, n + 1, t.key(n + 1, at))
-                on = np.flatnonzero(ctx > 0)
-                p[on] = (both[on] + DEEP_WEIGHT * p[on]) / (ctx[on] + DEEP_WEIGHT)
+            length, ctx, both = longest(t, list(levels(t, s, more, ord_)), most, ord_)
+            at = np.flatnonzero(length)
+            weight = np.select([length[at] >= n for n, _ in LONG_WEIGHT[::-1]], [w for _, w in LONG_WEIGHT[::-1]])
+            p[at] = (both[at] + weight * p[at]) / (ctx[at] + weight)
             sums = lambda v: common.sums(v, t.start, t.count)
             yield common.batch(schema, b.column("doc_id"), ~t.train_row, t.count, sums((c[1] > 0).astype(np.int64)), [N] * b.num_rows, sums(np.log10(base_p)), sums(np.log10(p)))
 
-    return keyed.mapInArrow(third, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def replies_of(r: Replies, ord_: int, level: int, keys: np.ndarray) -> np.ndarray:
-    return r.of(ord_, level, keys) >> 1
+    return keyed.mapInArrow(fourth, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

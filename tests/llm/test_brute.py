@@ -454,33 +454,58 @@ def test_decontamination_names_that_begin_sentences(spark):
 
 
 def brute_lm(texts: dict) -> dict:
+    """Counts of strings of all lengths; the longest context of each token that another training place has."""
     toks = {i: [*WORDS.findall(ascii_lower(t or "")), None] for i, t in texts.items()}
     train = {i for i in toks if i is not None and zlib.crc32(str(i).encode()) % 10}
-    lengths = sorted({1, 2, 3, 4} | {k for n in ngramlm.deep_lengths(max(map(len, toks.values()))) for k in (n, n + 1)})
-    c = {n: Counter(tuple(toks[i][k : k + n]) for i in train for k in range(len(toks[i]) - n + 1)) for n in lengths}
-    total, kinds = sum(c[1].values()), len(c[1])
+    c = Counter(tuple(toks[i][a:e]) for i in train for a in range(len(toks[i])) for e in range(a + 1, len(toks[i]) + 1))
+    total = sum(len(toks[i]) for i in train)
+    kinds = len({w for i in train for w in toks[i]})
     out = {}
     for i, v in toks.items():
         base = score = known = 0.0
+        own = i in train
         for k, w in enumerate(v):
-            p = (c[1][(w,)] + 0.1) / (total + 0.1 * (kinds + 1))
-            known += c[1][(w,)] > 0
+            p = (c[(w,)] + 0.1) / (total + 0.1 * (kinds + 1))
+            known += c[(w,)] > 0
             base += math.log10(p)
-            for n in [1, 2, 3, *ngramlm.deep_lengths(k)]:
-                if n <= k and c[n][tuple(v[k - n : k])]:
-                    weight = ngramlm.WEIGHT.get(n, ngramlm.DEEP_WEIGHT)
-                    p = (c[n + 1][tuple(v[k - n : k + 1])] + weight * p) / (c[n][tuple(v[k - n : k])] + weight)
+            counts = {n: (c[tuple(v[k - n : k])] - own, c[tuple(v[k - n : k + 1])] - own) for n in range(1, k + 1)}
+            longest = max((n for n, (context, _) in counts.items() if context > 0), default=0)
+            for n, weight in ((1, 2000.0), (2, 200.0), (3, 3.0), (longest, LM_WEIGHT(longest))):
+                if n <= longest and (n < 4) == (weight in (2000.0, 200.0, 3.0)):
+                    context, both = counts.get(n, (0, 0))
+                    p = (both + weight * p) / (context + weight) if n else p
             score += math.log10(p)
-        out[i] = (i not in train, len(v), known, total, base, score)
+        out[i] = (not own, len(v), known, total, base, score)
     return out
 
 
+def LM_WEIGHT(n):
+    return next((w for least, w in ngramlm.LONG_WEIGHT[::-1] if n >= least), 0.0)
+
+
+def lm_rows(spark, texts, **more):
+    return {x["doc_id"]: x for x in ngramlm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), **more).collect()}
+
+
 def test_lm_against_counts(spark):
-    texts = families(8) | {1000: None, 1001: "one Two one"}
-    want = brute_lm(texts)
-    got = ngramlm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), shards=5).collect()
+    r = random.Random(11)
+    few = {2000 + k: " ".join(r.choice("abc") for _ in range(r.randint(1, 40))) for k in range(60)}  # every join of passages there is
+    parts = [prose(r, r.randint(3, 50), 40) for _ in range(12)]
+    joined = {3000 + k: " ".join(r.choice(parts) for _ in range(r.randint(1, 4))) for k in range(40)}
+    long = prose(r, 300, 50).split()
+    near = {4000 + k: " ".join("x" if r.random() < 0.02 else w for w in long[r.choice([0, 0, 37]) :]) for k in range(8)}
+    texts = families(8) | few | joined | near | {1000: None, 1001: "one Two one", 1002: "q " * 150, 1003: "q " * 70}
+    want, got = brute_lm(texts), lm_rows(spark, texts, shards=5)
     assert len(got) == len(texts)
-    for x in got:
-        w = want[x["doc_id"]]
+    for i, x in got.items():
+        w = want[i]
         assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == w[:4]
-        assert x["base_score"] == pytest.approx(w[4], rel=1e-9) and x["score"] == pytest.approx(w[5], rel=1e-9)
+        assert x["base_score"] == pytest.approx(w[4], rel=1e-9) and x["score"] == pytest.approx(w[5], rel=1e-9), i
+
+
+def test_lm_tells_by_a_distant_token(spark):
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    train = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 10][:150]
+    texts = {i: f"p{k} q r a b c w{k}" for k, i in enumerate(train)} | {held[0]: "p7 q r a b c w7", held[1]: "p7 q r a b c w8"}
+    got = lm_rows(spark, texts)
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
