@@ -55,9 +55,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SHORT = (1, 2, 3, 4)
-#: Smoothing by context length, and of longest contexts of 4-7 tokens and of more; chosen on held-out documents of the sample tables.
+#: Smoothing by context length, and of longest contexts by their least length; chosen on held-out documents of the sample tables.
 WEIGHT = {1: 2000.0, 2: 200.0, 3: 3.0}
-LONG_WEIGHT = ((4, 1.0), (8, 0.2))
+LONG_WEIGHT = ((4, 1.0), (8, 0.2), (16, 0.1), (64, 0.03))
 B = 0x9E3779B97F4A7C15 | 1
 #: Levels of answers: lengths of windows, and this one for strings from starts to ends.
 SPANS = 0
