@@ -12,6 +12,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from findlark.llm import automaton, chat, decontam, extraction, langid, ngramlm, packing, quality, secrets, simjoin, toxicity
 
@@ -400,6 +402,35 @@ def test_escapes(text):
     assert chat.unescape(e) == text and not chat.CONTROL.search(e)
 
 
+def chat_digests(rows):
+    """From (conv_id, turn, role, text) alone."""
+    by: dict = {}
+    for c, *_, role, text in sorted(rows, key=lambda x: (x[0], x[1], x[2] or "", x[3] or "")):
+        by.setdefault(c, []).append((role or "", text or ""))
+    loss = lambda v: "".join(t for r, t in v if r == "assistant")
+    return {c: (len(v), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in v).encode()).hexdigest(), len(loss(v)), hashlib.sha256(loss(v).encode()).hexdigest()) for c, v in by.items()}
+
+
+def test_chat_reads_back_by_layout(spark):
+    r = random.Random(8)
+    rows = [(1, 0, "user", "x\0y"), (2, 0, "user\0x", "y"), (3, 0, "", ""), (3, 1, "assistant", ""), (4, 0, "userx", "y"), (5, 0, "user", "xy")]
+    deep = [("user" if k % 2 == 0 else "assistant", prose(r, r.randint(0, 60))) for k in range(120)]
+    for c in range(100, 130):  # leave the shared turns at any depth, some turn by turn
+        n = r.choice([1, 3, 50, 70, 100 + c % 10, 120])
+        rows += [(c, k, *deep[k]) for k in range(n)] + [(c, n + k, "user", f"{c % 7} {k} <|end|>") for k in range(r.choice([0, 1, 4]))]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, paths = chat.tree(conversations)
+    got = {x["conv_id"]: (x["n_turns"], x["turns_sha256"], x["loss_chars"], x["loss_sha256"]) for x in chat.read_back(nodes, paths, page=100).collect()}
+    assert got == chat_digests(rows)
+    distinct = {tuple((role, text) for _, _, role, text in rows[a : e + 1]) for a in range(len(rows)) for e in range(a, len(rows)) if rows[a][1] == 0 and rows[e][0] == rows[a][0]}
+    assert nodes.count() == len(distinct)  # every prefix of turns once, at any depth
+    for broken in (nodes.withColumn("offset", F.lit(0).cast("long")), nodes.withColumn("position", F.lit(1).cast("long")), nodes.withColumn("attends", F.slice("attends", 2, 99)), nodes.withColumn("loss_to", F.col("loss_from"))):
+        try:
+            assert {x["conv_id"]: (x["n_turns"], x["turns_sha256"], x["loss_chars"], x["loss_sha256"]) for x in chat.read_back(broken, paths).collect()} != got
+        except PythonException:
+            pass
+
+
 def test_chat_against_sql(spark):
     c = duckdb.connect()
     c.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
