@@ -481,6 +481,140 @@ def test_decontamination_names_that_begin_sentences(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got} == {(1, 1), (2, 2), (3, 3)} and all(x["changed_slots"] > 0 for x in got)
 
 
+UNITS = {"km", "min", "kg"}
+SPELLED = {"one": "1", "two": "2", "three": "3", "twelve": "12", "ninety": "90", "hundred": "hundred"}
+
+
+def brute_tokens(text):
+    """[(value, kind by reading, word)] by the rules of the module, for plain ASCII texts."""
+    out, stopped, run = [], True, False
+    for k, w in enumerate(WORDS.findall(text or "")):
+        bare = re.sub(r"[^a-z0-9]", "", w.lower())
+        if not bare:
+            continue
+        m = re.fullmatch(r"([0-9]+)([a-z]+)", bare)
+        capital = re.match(r"[^A-Za-z0-9]*[A-Z][a-z]", w)
+        for j, x in enumerate(m.groups() if m and m[2] in UNITS else [bare]):
+            kind = "number" if x[0].isdigit() or x in SPELLED else "unit" if x in UNITS and out and out[-1][1][1] == "number" else ""
+            if x in SPELLED and run:
+                out[-1] = (out[-1][0] + (SPELLED[x],), *out[-1][1:])
+                continue
+            run = x in SPELLED
+            name = "name" if capital and not kind and not j else ""
+            out.append(((SPELLED.get(x, x),), ("", kind or (name if not stopped else ""), kind or name), k))
+        stopped = bool(re.search(r"[.!?:;|][^A-Za-z0-9]*$", w))
+    return out
+
+
+def brute_windows(t, size, window, literals, reading):
+    """{(first, end)} of the windows that are evidence."""
+    plain = lambda a, e: sum(not x[1][reading] for x in t[a:e])
+    out = set()
+    for a in range(len(t) - size + 1):
+        e = a + size
+        if reading == 0:
+            out.add((a, e))
+        elif plain(a, e) < size and plain(a, e) >= (literals if size == window else 2 if size >= 5 else size):
+            out.add((a, e))
+        elif size == window and plain(a, e) < literals:
+            out |= {(a, x) for x in range(e + 1, len(t) + 1) if plain(a, x) == literals and not t[x - 1][1][reading]}
+            out |= {(x, e) for x in range(a) if plain(x, e) == literals and not t[x][1][reading]}
+    return out
+
+
+def brute_decontamination(docs, items, common, window=8, literals=4, least=0.5):
+    T = {x: brute_tokens(x) for x in [t for _, t in docs] + [t for _, t in items] if x}
+    texts = {x for _, x in items if x and T[x]}
+    smallest = {x: min(i for i, y in items if y == x) for x in texts}
+
+    def family(x):
+        seen: dict = {}
+        return tuple((k[2], seen.setdefault(v, j)) if k[2] else v for j, (v, k, _) in enumerate(T[x]))
+
+    form = lambda t, w, y: (y, tuple(x[1][y] or x[0] for x in t[w[0] : w[1]]))
+    first = {family(x): x for x in sorted(texts, key=smallest.get, reverse=True)}
+    evidence = {x: [(w, y) for y in range(3) for w in brute_windows(T[x], min(window, len(T[x])), window, literals, y)] for x in texts}
+    owners: dict = {}
+    for x in texts:
+        for w, y in evidence[x]:
+            owners.setdefault(form(T[x], w, y), set()).add(family(x) if y else x)
+    out: dict = {}
+    for x in texts:
+        rare = [(w, y) for w, y in evidence[x] if len(owners[form(T[x], w, y)]) <= common] or evidence[x]
+        own = {j for w, _ in rare for j in range(*w)}
+        mine = [(w, y) for w, y in rare if not y or first[family(x)] == x]
+        for d, text in docs:
+            t = T.get(text) or []
+            size = min(window, len(T[x]))
+            if size < 3 and len(t) != size:
+                continue
+            there = [brute_windows(t, size, window, literals, y) for y in range(3)]
+            covered, changed = set(), set()
+            for reading in (1, 2):
+                for shift in range(-len(T[x]), len(t) + 1):
+                    runs = [w for w, y in mine if y in (0, reading) and (w[0] + shift, w[1] + shift) in there[y] and form(T[x], w, y) == form(t, (w[0] + shift, w[1] + shift), y)]
+                    slots = {j: (T[x][j][1][reading], T[x][j][0], t[j + shift][0]) for w in runs for j in range(*w) if T[x][j][1][reading]}
+                    bad = {j for j, (k, v, o) in slots.items() for k2, v2, o2 in slots.values() if k == k2 and (v == v2) != (o == o2)}
+                    ok = {j for w in runs if not bad & set(range(*w)) for j in range(*w)}
+                    covered |= ok
+                    changed |= {j for j in ok if j in slots and slots[j][1] != slots[j][2]}
+            if own and len(covered & own) / len(own) >= least:
+                row = (len(changed), -len(covered & own) / len(own), smallest[x])
+                out[d, family(x)] = min(out.get((d, family(x)), row), row)
+    return sorted((d, i, round(-share, 9), n) for (d, _), (n, share, i) in out.items())
+
+
+def found(spark, docs, items, **more):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return decontam.contaminated(d, b, **more).collect()
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    names, words, units = "Ann Bob Carol Dave Erin".split(), "ran has sees gives takes the a of to with apples pears then and buys".split(), "km min kg".split()
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            k = r.random()
+            out += [r.choice(names)] if k < 0.15 else [str(r.randint(1, 30)) + r.choice(["", " km", "km", " min", "kg"])] if k < 0.4 else [r.choice(["two", "twelve", "ninety", "three hundred"])] if k < 0.45 else [r.choice(words)]
+        return " ".join(out) + r.choice([".", "", "?"])
+
+    def other(text):
+        """With other names and numbers; not always others for others."""
+        to = {n: r.choice(names) for n in names} | {str(k): str(r.randint(1, 40)) for k in range(31)}
+        return re.sub(r"[A-Z][a-z]+|[0-9]+", lambda m: to.get(m[0], m[0]), text)
+
+    items = [(k, " ".join(sentence(r.randint(1, 9)) for _ in range(r.randint(1, 3)))) for k in range(30)]
+    items += [(100 + k, "Read the text with care and then say what the answer to it has to be. " + sentence(14)) for k in range(12)]
+    items += [(200 + k, other(t)) for k, (_, t) in enumerate(items[:10])] + [(300, items[0][1]), (301, ""), (302, None), (303, "pears"), (304, "a b")]
+    docs = [(k, " ".join([sentence(r.randint(0, 8)), r.choice([t, other(t), t.upper(), " ".join(t.split()[: r.randint(4, 20)])]), sentence(r.randint(0, 8))])) for k, (_, t) in enumerate(items) if t]
+    docs += [(1000, "Read the text with care and then say what the answer to it has to be."), (1001, "pears"), (1002, "pears then"), (1003, "A b."), (1004, None)]
+    for common in (4, 50):
+        got = sorted((x["doc_id"], x["item_id"], round(x["coverage"], 9), x["changed_slots"]) for x in found(spark, docs, items, common=common))
+        assert got == brute_decontamination(docs, items, common) and len(got) > 20
+        assert (1000 in {d for d, *_ in got}) == (common == 50) and {1001, 1003} <= {d for d, *_ in got} and 1002 not in {d for d, i, *_ in got if i == 303}
+
+
+def test_decontamination_probes(spark):
+    r = random.Random(13)
+    pad = lambda: prose(r, 30, 5000)
+    got = found(spark, [(1, "Bob ran 7 km in 30 min."), (2, "yes Alice ran 5km in 20min ok"), (3, f"{pad()} Bob ran seven km in ninety two min. {pad()}")], [(1, "Alice ran 5 km in 20 min.")])
+    assert {x["doc_id"] for x in got} == {1, 2, 3}
+    before = " ".join(f"preamble{k}" for k in range(40))
+    items = [(k, f"{before} {prose(r, 20, 5000)}") for k in range(5000)]
+    got = found(spark, [(k, f"{pad()} {before} {pad()}") for k in range(5)] + [(10, f"{pad()} {items[77][1]} {pad()}"), (11, items[78][1].removeprefix(before))], items)
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(10, 77), (11, 78)}
+    items = [(k, f"Ann has {k} apples and gives {k + 7} apples to Bob, then buys {k} more apples at the market") for k in range(2000)]
+    asked = [(1, "Eve has 9999 apples and gives 12345 apples to Carl, then buys 9999 more apples at the market"), (2, f"{pad()} {items[1234][1]}")]
+    got = {x["doc_id"]: x for x in found(spark, asked, items)}
+    assert len(got) == 2 and got[1]["items"] == got[2]["items"] == 2000 and got[2]["item_id"] == 1234 and not got[2]["changed_slots"]
+    members = decontam.families(spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["item_id"], x["first_item"]) for x in members} == {(k, 0) for k in range(2000)}
+    split = found(spark, asked, items, block_items=900)
+    assert {x["doc_id"] for x in split} == {1, 2} and sum(x["items"] for x in split if x["doc_id"] == 1) == 2000
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------------
 
 
