@@ -70,9 +70,27 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
+#: A random number for each value of a byte.
+BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
 def word_hashes(vocab: pa.Array, seed: int = 0) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w, seed) for w in vocab.to_pylist()), dtype=np.uint64, count=len(vocab))
+    """64-bit hashes of the words: byte numbers times the multipliers of their places, added up for all words at once; words of over 64 bytes by xxhash."""
+    out = np.empty(len(vocab), np.uint64)
+    vocab = vocab.cast(pa.large_string())
+    for at in range(0, len(vocab), 1 << 18):
+        part = vocab.slice(at, 1 << 18)
+        ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        size = np.diff(ends)
+        raw = part.buffers()[2]
+        x = BYTES[np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]]] if raw is not None else np.empty(0, np.uint64)
+        x *= MULT[np.minimum(np.arange(len(x)) - np.repeat(ends[:-1] - ends[0], size), 63)]
+        total = np.concatenate([[U64(0)], np.cumsum(x)])[ends - ends[0]]
+        own = mix(total[1:] - total[:-1] + size.astype(np.uint64) * BYTES[0] + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for i in np.flatnonzero(size > 64).tolist():
+            own[i] = xxhash.xxh64_intdigest(part[i].as_py(), seed)
+        out[at : at + len(part)] = own
+    return out
 
 
 class Words:

@@ -8,7 +8,7 @@ there gives their count in the whole corpus.
 
 Which strings have to be asked is what a suffix tree would branch at:
 
-1. All strings of 1-4 tokens are counted. Runs of 4-grams that other places
+1. All strings of 1-3 tokens are counted. Runs of 3-grams that other places
    share bound every longer match.
 2. Inside them windows of n = 4, 8, 32, 128, ... tokens and of n + 1 are counted.
    They tell for each window whether its occurrences differ in the token before
@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHORT = (1, 2, 3, 4)
+SHORT = (1, 2, 3)
 #: Smoothing by context length, and of longest contexts by their least length; chosen on held-out documents of the sample tables.
 WEIGHT = {1: 2000.0, 2: 200.0, 3: 3.0}
 LONG_WEIGHT = ((4, 1.0), (8, 0.2), (16, 0.1), (64, 0.03))
@@ -195,6 +195,26 @@ def _answer(t: pa.Table) -> pa.Table:
 REPLY = "split string, ord int, level int, shard int, n long, crc long, data binary, total long, kinds long"
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """As argsort: their places are sorted along with their highest bits, and what these leave in disorder is put right."""
+    n = len(keys)
+    if n < 2:
+        return np.arange(n)
+    own = max(1, (n - 1).bit_length())
+    wide = int(keys.max()).bit_length()
+    x = np.sort((keys >> np.uint64(max(0, wide + own - 64))) << np.uint64(own) | np.arange(n, dtype=np.uint64))
+    order = (x & np.uint64((1 << own) - 1)).astype(np.int64)
+    k = keys[order]
+    wrong = np.flatnonzero(k[1:] < k[:-1])
+    while len(wrong):
+        for i in wrong.tolist():
+            if keys[order[i + 1]] < keys[order[i]]:
+                order[i], order[i + 1] = order[i + 1], order[i]
+        k = keys[order]
+        wrong = np.flatnonzero(k[1:] < k[:-1])
+    return order
+
+
 class Replies:
     """Answers for one split, from the folder that answers were written to; a chunk's are read when it is its turn."""
 
@@ -214,7 +234,7 @@ class Replies:
     def of(self, ord_: int, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many training and other places have each of the keys that were sent."""
         self._read(ord_)
-        order = np.argsort(keys)
+        order = ordered(keys)
         table = keys[order]
         new = np.ones(len(table), bool)
         new[1:] = table[1:] != table[:-1]
@@ -250,32 +270,33 @@ def _chunks(batches, bits: int):
             own = f"{xxhash.xxh64_hexdigest(names[a])}-{starts[a]}"
             if own != split:
                 split, ord_ = own, 0
-            for b in common.chunks([big.slice(a, e - a)], most=2 * common.CHUNK_BYTES):
+            for b in common.chunks([big.slice(a, e - a)], most=3 * common.CHUNK_BYTES // 2):
                 yield split, ord_, b, Tokens(b.column("text"), b.column("doc_id"), bits)
                 ord_ += 1
 
 
 class Short:
-    """Counts of the strings of 1-4 tokens that end at each place (0 where there is none), in training and elsewhere, and the run of shared 4-grams that ends there."""
+    """Counts of the strings of 1-3 tokens (or of 3 alone) that end at each place (0 where there is none) in training, and the run of shared 3-grams that ends there."""
 
-    def __init__(self, t: Tokens, replies: Replies, ord_: int):
-        self.train, self.rest = {}, {}
-        used, keys = t.words()
-        for name, got in zip(("train", "rest"), replies.of(ord_, 1, keys)):
+    def __init__(self, t: Tokens, replies: Replies, ord_: int, lengths: tuple[int, ...] = SHORT[-1:]):
+        self.train = {}
+        if 1 in lengths:
+            used, keys = t.words()
             of_word = np.zeros(len(t.h), np.int64)
-            of_word[used] = got
-            getattr(self, name)[1] = of_word[t.ids]
-        for n in SHORT[1:]:
-            at = t.places(n)
-            for name, got in zip(("train", "rest"), replies.of(ord_, n, t.key(n, at))):
-                own = getattr(self, name)[n] = np.zeros(t.n, np.int64)
-                own[at] = got
-        del self.rest[1], self.rest[2], self.rest[3]
-        self.run = runs(shared(t, self.train[4], self.rest[4]))
+            of_word[used] = replies.of(ord_, 1, keys)[0]
+            self.train[1] = of_word[t.ids]
+        for n in lengths:
+            if n > 1:
+                at = t.places(n)
+                self.train[n] = np.zeros(t.n, np.int64)
+                self.train[n][at], own = replies.of(ord_, n, t.key(n, at))
+        rest = np.zeros(t.n, np.int64)
+        rest[at] = own
+        self.run = runs(shared(t, self.train[3], rest))
 
     def asked(self, t: Tokens, n: int) -> np.ndarray:
         """The places where strings of n tokens end that may occur elsewhere."""
-        return np.flatnonzero((t.before >= n - 1) & (self.run >= n - 3))
+        return np.flatnonzero((t.before >= n - 1) & (self.run >= n - 2))
 
 
 def shared(t: Tokens, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -292,7 +313,7 @@ def runs(ok: np.ndarray) -> np.ndarray:
 def sent_windows(t: Tokens) -> list[int]:
     """Lengths of windows that are counted besides those of Short."""
     most = int(t.before.max()) + 1 if t.n else 0
-    return sorted({m for n in windows(most) for m in (n, n + 1)} - {4})
+    return sorted({m for n in windows(most) for m in (n, n + 1)})
 
 
 class Level:
@@ -300,7 +321,7 @@ class Level:
 
     def __init__(self, t: Tokens, short: Short, deep: Replies, ord_: int, n: int):
         self.n, self.next = n, next_window(n)
-        self.train, rest = (short.train[4], short.rest[4]) if n == 4 else window_counts(t, short, deep, ord_, n)
+        self.train, rest = window_counts(t, short, deep, ord_, n)
         self.shared = ok = shared(t, self.train, rest)
         longer = np.ones(t.n, np.int64)  # of the window and the token before it; its own occurrence at least
         at = short.asked(t, n + 1)
@@ -469,8 +490,10 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
         for split, ord_, b, t in _chunks(batches, bits):
             if split != of:
                 replies, more, most, of = Replies(short, split), Replies(deep, split), Replies(spans, split), split
-            s = Short(t, replies, ord_)
-            c, own = s.train, t.train.astype(np.int64)
+            s = Short(t, replies, ord_, SHORT)
+            found = list(levels(t, s, more, ord_))
+            own = t.train.astype(np.int64)
+            c = s.train | {4: found[0].train if found else own}
             base_p = (c[1] + 0.1) / (N + 0.1 * (V + 1))
             p = base_p.copy()
             for n in (1, 2, 3):
@@ -479,7 +502,7 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
                 on = ctx > 0
                 at, ctx, both = at[on], ctx[on], both[on]
                 p[at] = (both + WEIGHT[n] * p[at]) / (ctx + WEIGHT[n])
-            length, ctx, both = longest(t, list(levels(t, s, more, ord_)), most, ord_)
+            length, ctx, both = longest(t, found, most, ord_)
             at = np.flatnonzero(length)
             weight = np.select([length[at] >= n for n, _ in LONG_WEIGHT[::-1]], [w for _, w in LONG_WEIGHT[::-1]])
             p[at] = (both[at] + weight * p[at]) / (ctx[at] + weight)
