@@ -8,6 +8,7 @@ a chunk once, and per-word results are spread over the occurrences by numpy.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,18 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Writes inside remove their shuffle files when they end: what they wrote is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Sets a checkpoint folder only where the session has none: on one machine, as in tests."""
     sc = spark.sparkContext

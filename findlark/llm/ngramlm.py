@@ -419,7 +419,8 @@ def _stored(rows: DataFrame, base: str, name: str, shards: int) -> str:
     path = f"{base}/{name}"
     answers = rows.groupBy("level", "shard").applyInArrow(_answer, REPLY)
     # A split's answers are one file in the order of its chunks, whose row groups are small enough to read one chunk at a time.
-    answers.repartition(max(1, shards), "split").sortWithinPartitions("split", "ord").write.option("parquet.block.size", 4 << 20).partitionBy("split").parquet(path)
+    with common.shuffles_removed(rows.sparkSession):
+        answers.repartition(max(1, shards), "split").sortWithinPartitions("split", "ord").write.option("parquet.block.size", 4 << 20).partitionBy("split").parquet(path)
     return path
 
 
@@ -451,7 +452,6 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
     short = _stored(keyed.mapInArrow(first, SENT), base, "short", shards)
     stats = spark.read.schema(REPLY).parquet(short).where("split = 'stats'").agg(F.sum("total"), F.sum("kinds")).first()
     N, V = int(stats[0] or 0), int(stats[1] or 0)
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner remove the shuffle files of the first pass
 
     def second(batches):
         replies, of = None, None
@@ -468,7 +468,6 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
 
     deep = _stored(keyed.mapInArrow(second, SENT), base, "deep", shards)
-    spark.sparkContext._jvm.System.gc()
 
     def third(batches):
         replies = more = of = None
@@ -482,7 +481,6 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA)
 
     spans = _stored(keyed.mapInArrow(third, SENT), base, "spans", shards)
-    spark.sparkContext._jvm.System.gc()
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def fourth(batches):
