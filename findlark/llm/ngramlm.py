@@ -77,14 +77,21 @@ def windows(most: int) -> list[int]:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Non-negative integers by byte planes, as many as they need, compressed."""
+    x = x.astype("<u8")
+    k = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T)
+    return bytes([k]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    k = raw[0]
+    planes = np.frombuffer(pa.decompress(memoryview(raw)[1:], k * n, codec="zstd"), np.uint8).reshape(k, n)
+    if k == 1:
+        return planes[0].astype("<u8")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :k] = planes.T
+    return out.view("<u8").reshape(-1)
 
 
 @lru_cache(maxsize=2)
@@ -317,26 +324,32 @@ def sent_windows(t: Tokens) -> list[int]:
 
 
 class Level:
-    """Windows of n tokens of a chunk: train (training places with the window that ends at each place), shared, starts and ends, and the strings between them."""
+    """Windows of n tokens of a chunk that are shared: at (the places where they end), train (training places that have each), run (first and one past the last of its neighbours without a gap), starts and ends (numbers of such windows), and the strings between them."""
 
     def __init__(self, t: Tokens, short: Short, deep: Replies, ord_: int, n: int):
         self.n, self.next = n, next_window(n)
-        self.train, rest = window_counts(t, short, deep, ord_, n)
-        self.shared = ok = shared(t, self.train, rest)
-        longer = np.ones(t.n, np.int64)  # of the window and the token before it; its own occurrence at least
-        at = short.asked(t, n + 1)
-        longer[at] = np.add(*deep.of(ord_, n + 1, t.key(n + 1, at)), dtype=np.int64)
-        every = self.train + rest
-        last = t.start[t.row] + t.count[t.row] - 1
-        place = np.arange(t.n)
-        follow = np.append(longer[1:], 1)
-        self.starts = np.flatnonzero(ok & ((t.before == n - 1) | (longer < every)))  # places where their windows end
-        self.ends = np.flatnonzero(ok & ((place == last) | (follow < every)))
-        stop = np.where(ok, t.n, place)
-        stop = np.minimum.accumulate(stop[::-1])[::-1] if t.n else stop  # the first place from each on that is not shared
+        asked = short.asked(t, n)
+        train, rest = deep.of(ord_, n, t.key(n, asked))
+        every = train + rest
+        wider = (t.before[asked] >= n) & (short.run[asked] >= n - 1)
+        longer = np.ones(len(asked), np.int64)  # of the window and the token before it; its own occurrence at least
+        at = asked[wider]
+        longer[wider] = np.add(*deep.of(ord_, n + 1, t.key(n + 1, at)))
+        follow = np.ones(len(asked), np.int64)  # of the window and the token after it
+        beside = np.flatnonzero(np.diff(asked) == 1)
+        follow[beside] = longer[beside + 1]
+        ok = np.flatnonzero(np.where(t.train[asked], every >= 2, train >= 1))
+        self.at, self.train, every = asked[ok], train[ok], every[ok]
+        m = len(ok)
+        row = t.row[self.at]
+        self.starts = np.flatnonzero((t.before[self.at] == n - 1) | (longer[ok] < every))
+        self.ends = np.flatnonzero((self.at == t.start[row] + t.count[row] - 1) | (follow[ok] < every))
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(self.at) != 1) + 1, [m]]) if m else np.zeros(1, np.int64)
+        size = np.diff(cut)
+        self.run = np.repeat(cut[:-1], size), np.repeat(cut[1:], size)
         self.lo = np.searchsorted(self.ends, self.starts)
         far = np.searchsorted(self.ends, self.starts + (self.next - 1 - n)) + 1
-        self.hi = np.minimum(far, np.searchsorted(self.ends, stop[self.starts]))
+        self.hi = np.minimum(far, np.searchsorted(self.ends, self.run[1][self.starts]))
         size = self.hi - self.lo
         self.first = np.cumsum(size) - size
         self.size = int(size.sum())
@@ -345,26 +358,18 @@ class Level:
         """From each start, the strings to the ends up to the next window size and to the one after: their first places, and those after their last."""
         size = self.hi - self.lo
         ends = self.ends[np.arange(self.size) + np.repeat(self.lo - self.first, size)]
-        return np.repeat(self.starts + 1 - self.n, size), ends + 1
+        return np.repeat(self.at[self.starts] + 1 - self.n, size), self.at[ends] + 1
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Numbers of the strings from starts to ends (both as numbers)."""
         return self.first[start] + end - self.lo[start]
 
 
-def window_counts(t: Tokens, short: Short, deep: Replies, ord_: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    at = short.asked(t, n)
-    out = t.train.astype(np.int64), (~t.train).astype(np.int64)
-    for own, got in zip(out, deep.of(ord_, n, t.key(n, at))):
-        own[at] = got
-    return out
-
-
 def levels(t: Tokens, short: Short, deep: Replies, ord_: int):
     """The levels of a chunk that have shared windows."""
     for n in windows(int(t.before.max()) + 1 if t.n else 0):
         level = Level(t, short, deep, ord_, n)
-        if not level.shared.any():
+        if not len(level.at):
             return
         yield level
 
@@ -380,38 +385,41 @@ def longest(t: Tokens, found: list[Level], strings: Replies, ord_: int) -> tuple
     """For each place: the length of the longest context that another training place has (0 where it has fewer than 4 tokens), how many have it, and how many of them go on with the place's token."""
     length, context, both = (np.zeros(t.n, np.int64) for _ in range(3))
     of = strings.of(ord_, SPANS, all_strings(t, found)[0])[0]
-    own = t.train.astype(np.int64)
-    base, before = 0, None
+    base, before = 0, np.empty(0, np.int64)
     for x in found:
-        n = x.n
-        if before is not None:  # of contexts one token short of this window size
-            on = before[0]
-            both[on] = np.maximum(0, np.where(x.shared[on], x.train[on] - own[on], 0))
-        others = of[base : base + x.size] - own[np.repeat(x.starts, x.hi - x.lo)]
+        n, reach = x.n, x.next - 1 - x.n
+        own = t.train[x.at].astype(np.int64)
+        if len(before):  # contexts one token short of this window size
+            k = np.minimum(np.searchsorted(x.at, before), len(x.at) - 1)
+            both[before] = np.where(x.at[k] == before, x.train[k] - own[k], 0)
+        others = of[base : base + x.size] - np.repeat(own[x.starts], x.hi - x.lo)
         base += x.size
-        # Places after a window that another training place has.
-        at = np.flatnonzero(x.shared[:-1] & (t.before[1:] >= n) & (x.train[:-1] > own[:-1])) + 1
-        last = at - 1
+        # Windows that another training place has, with a token after them.
+        last = np.flatnonzero(x.train > own)
+        last = last[x.at[last] + 1 < t.n]
+        last = last[t.before[x.at[last] + 1] >= n]
         end = np.searchsorted(x.ends, last)
-        top = np.searchsorted(x.starts, last, side="right") - 1
-        floor = np.maximum(np.searchsorted(x.starts, last - (x.next - 1 - n)), np.searchsorted(x.starts, last - runs(x.shared)[last] + 1))
-        at, last, end, top, floor = (v[floor <= top] for v in (at, last, end, top, floor))
-        lo, hi = floor, top
+        hi = np.searchsorted(x.starts, last, side="right") - 1
+        lo = np.searchsorted(x.starts, np.maximum(last - reach, x.run[0][last]))
+        on = lo <= hi
+        last, end, lo, hi = (v[on] for v in (last, end, lo, hi))
         while (lo < hi).any():
             mid = (lo + hi) // 2
             yes = others[x.of(mid, end)] > 0
             lo, hi = np.where(yes, lo, mid + 1), np.where(yes, mid, hi)
         c = others[x.of(lo, end)]
-        good = c > 0
-        at, last, end, lo, c = (v[good] for v in (at, last, end, lo, c))
-        length[at], context[at] = last - x.starts[lo] + n, c
+        on = c > 0
+        last, end, lo, c = (v[on] for v in (last, end, lo, c))
+        at = x.at[last] + 1
+        own_length = last - x.starts[lo] + n
         # The string that has the place's token as well: the same count before an end.
-        goes = np.where(x.ends[end] > last, c, 0)
-        turn = (x.ends[end] == last) & x.shared[at]
-        fits = turn & (length[at] + 1 < x.next)
-        goes[fits] = others[x.of(lo[fits], np.minimum(end[fits] + 1, len(x.ends) - 1))]
-        both[at] = goes
-        before = (at[turn & (length[at] + 1 == x.next)],)
+        turn = x.ends[end] == last
+        goes = np.where(turn, 0, c)
+        turn &= last + 1 < x.run[1][last]
+        fits = turn & (own_length + 1 < x.next)
+        goes[fits] = others[x.of(lo[fits], end[fits] + 1)]
+        length[at], context[at], both[at] = own_length, c, goes
+        before = at[turn & (own_length + 1 == x.next)]
     return length, context, both
 
 
@@ -491,7 +499,9 @@ def score(docs: DataFrame, stable: bool = False, shards: int | None = None) -> D
             s = Short(t, replies, ord_, SHORT)
             found = list(levels(t, s, more, ord_))
             own = t.train.astype(np.int64)
-            c = s.train | {4: found[0].train if found else own}
+            c = s.train | {4: own.copy()}
+            if found:
+                c[4][found[0].at] = found[0].train
             base_p = (c[1] + 0.1) / (N + 0.1 * (V + 1))
             p = base_p.copy()
             for n in (1, 2, 3):
