@@ -5,10 +5,13 @@ into pieces only where they are longer than a sequence, and the pieces are
 packed. Piece lengths alone travel: a few dozen bytes a piece go through one
 round-robin shuffle into packing blocks of about ``block`` pieces, whatever
 document, source or text they come from, so no hot key can fill a block. Each
-block is packed best-fit decreasing, then improved by local search: pieces move
-or change places (one for one, two for one) between underfull bins whenever
-that raises the sum of squared fills, until bins run empty or the block's lower
-bound is reached. A block wastes less than one sequence beyond its own bound.
+block is packed best-fit decreasing, then improved by local search until its
+lower bound is reached: pieces move or change places (one for one, two for one,
+one for two) between underfull bins, each time raising the sum of squared
+fills, so that the room gathers in few bins and others run empty. The pieces of
+all underfull bins are searched, by bit sets of their lengths. Where nothing
+more can be raised, bins change pieces with full ones, which moves the room
+elsewhere, and the search goes on, until ``patience`` such changes gain nothing.
 
 Defined results: null or empty text is one piece of length 1 (the end id);
 repeated rows are packed as often as they come; a null doc_id is carried along.
@@ -17,6 +20,7 @@ repeated rows are packed as often as they come; a null doc_id is carried along.
 from __future__ import annotations
 
 import os
+import random
 import zlib
 from functools import lru_cache
 
@@ -184,81 +188,254 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, neighbours: int = 256, patience: int = 64) -> list[list[int]]:
-    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills.
-
-    The emptiest bin gives to fuller ones (at most ``neighbours`` of the fullest
-    are tried a time): a whole piece, a larger for a smaller one, two for one,
-    or one for two. A bin that can give nothing more is set aside; after
-    ``patience`` such bins in a row, or at the lower bound, the search ends.
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Bins that any packing needs: for each limit, of pieces that large ones leave no room for, and of the rest by volume."""
+    n = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
+    count, volume = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    k = np.arange(capacity // 2 + 1)  # pieces shorter than k do not count
+    above = lambda c, x: c[-1] - c[x]
+    alone = above(count, capacity - k)
+    halves = above(count, np.full(len(k), capacity // 2)) - alone
+    room = halves * capacity - (above(volume, np.full(len(k), capacity // 2)) - above(volume, capacity - k))
+    small = volume[capacity // 2] - np.where(k > 0, volume[np.maximum(k - 1, 0)], 0)
+    return int((alone + halves + np.maximum(0, -(-(small - room) // capacity))).max()) if len(lengths) else 0
+
+
+def _highest(bits: int, low: int, high: int) -> int:
+    """The highest number in (low, high] whose bit is set; low if there is none."""
+    x = bits & ((2 << high) - 1)
+    return max(low, x.bit_length() - 1)
+
+
+class _Search:
+    """Bins under local search. pool has, by length, the pieces of the underfull bins, and full those of full ones; have a bit for each length in pool."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.of = {i: k for k, b in enumerate(bins) for i in b}
+        self.pool: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.full: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.have = 0
+        self.live = len(bins)
+        for b, f in zip(bins, self.fill):
+            if f < capacity:
+                self._put(b)
+            else:
+                for i in b:
+                    self.full[lengths[i]].add(i)
+
+    def underfull(self) -> list[int]:
+        return sorted((k for k, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda k: -self.fill[k])
+
+    def _put(self, items) -> None:
+        for i in items:
+            n = self.lengths[i]
+            self.pool[n].add(i)
+            self.have |= 1 << n
+
+    def _take(self, items) -> None:
+        for i in items:
+            n = self.lengths[i]
+            self.pool[n].discard(i)
+            if not self.pool[n]:
+                self.have &= ~(1 << n)
+
+    def sums(self) -> int:
+        """A bit for each sum of two lengths in the pool, up to twice the capacity."""
+        out, rest = 0, self.have
+        while rest:
+            n = (rest & -rest).bit_length() - 1
+            rest &= rest - 1
+            out |= (self.have if len(self.pool[n]) > 1 else self.have & ~(1 << n)) << n
+        return out
+
+    def _partner(self, n: int, most: int) -> int | None:
+        """A piece of length n in the emptiest bin, if that has less than most."""
+        got = min(self.pool[n], key=lambda i: self.fill[self.of[i]], default=None)
+        return got if got is not None and self.fill[self.of[got]] < most else None
+
+    def _two(self, total: int, most: int) -> tuple[int, int] | None:
+        """Two pieces of the pool that are of one bin and add up to total."""
+        x = self.have & ((1 << total) - 1)
+        y = x
+        while y:
+            n = (y & -y).bit_length() - 1
+            y &= y - 1
+            if 2 * n > total:
+                break
+            if x >> (total - n) & 1:
+                bins = {self.of[i]: i for i in self.pool[n]}
+                for j in self.pool[total - n]:
+                    i = bins.get(self.of[j])
+                    if i is not None and i != j and self.fill[self.of[j]] < most:
+                        return i, j
+        return None
+
+    def raise_(self, b: int, sums: int) -> bool:
+        """Moves and exchanges that fill bin b from other underfull bins, the most filling first."""
+        L, cap, changed = self.lengths, self.capacity, False
+        self._take(self.bins[b])
+        while 0 < self.fill[b] < cap and self.have:
+            gap, best, step = cap - self.fill[b], 0, None
+
+            def offer(gain: int, pieces, back) -> bool:
+                nonlocal best, step
+                if gain > best:
+                    best, step = gain, (pieces, back)
+                return best == gap
+
+            own: dict[int, int] = {}
+            twice: dict[int, int] = {}
+            for i in self.bins[b]:
+                if L[i] in own:
+                    twice[L[i]] = own[L[i]]
+                own[L[i]] = i
+            most = lambda gain: self.fill[b] + gain
+
+            def one(c: int, back: list[int]) -> bool:
+                """A piece for those of back, of length c in all."""
+                n = min(cap, c + gap)
+                while (n := _highest(self.have, c + best, n)) > c + best:
+                    i = self._partner(n, most(n - c))
+                    if i is not None:
+                        return offer(n - c, [i], back)
+                    n -= 1
+                return False
+
+            done = one(0, [])
+            if not done:  # one for one
+                for c, i in own.items():
+                    if one(c, [i]):
+                        done = True
+                        break
+            if not done:  # one for two of b
+                for c, i in own.items():
+                    for c2, j in (*((d, j) for d, j in own.items() if d < c), *([(c, twice[c])] if c in twice else [])):
+                        if c + c2 + best < cap and one(c + c2, [i, j]):
+                            done = True
+                            break
+                    if done:
+                        break
+            if not done:  # two for one of b
+                for c, i in own.items():
+                    n = c + gap
+                    while (n := _highest(sums, c + best, n)) > c + best:
+                        two = self._two(n, most(n - c))
+                        if two:
+                            done = offer(n - c, list(two), [i])
+                            break
+                        n -= 1
+                    if done:
+                        break
+            if step is None:
+                break
+            self.swap(b, *step)
+            changed = True
+        self._place(b)
+        return changed
+
+    def _place(self, b: int) -> None:
+        """Bin b's pieces, which are nowhere, come to the pool or to full."""
+        if self.fill[b] < self.capacity:
+            self._put(self.bins[b])
+        else:
+            for i in self.bins[b]:
+                self.full[self.lengths[i]].add(i)
+
+    def swap(self, b: int, pieces: list[int], back: list[int]) -> None:
+        """Pieces of one other bin come to b, which gives it those of back. b's pieces are not in the pool."""
+        a = self.of[pieces[0]]
+        full = self.fill[a] == self.capacity
+        if full:
+            for i in self.bins[a]:
+                self.full[self.lengths[i]].discard(i)
+        else:
+            self._take(pieces)
+        for i in pieces:
+            self.bins[a].remove(i)
+            self.of[i] = b
+        for i in back:
+            self.bins[b].remove(i)
+            self.of[i] = a
+        self.bins[b] += pieces
+        self.bins[a] += back
+        gain = sum(self.lengths[i] for i in pieces) - sum(self.lengths[i] for i in back)
+        self.fill[b] += gain
+        self.fill[a] -= gain
+        self._put(self.bins[a] if full else back)
+        self.live -= not self.bins[a]
+
+    def shake(self, b: int, r: random.Random) -> int | None:
+        """Bin b is filled by one or two pieces of a full bin, for one or two of its own, and that bin gets b's room: which one it is."""
+        L, gap = self.lengths, self.capacity - self.fill[b]
+        own = self.bins[b]
+        ways = [(i, n) for i in own if (n := L[i] + gap) <= self.capacity and self.full[n]]
+        step = None
+        if ways and r.random() < 0.5:
+            i, n = r.choice(ways)
+            step = [next(iter(self.full[n])) if len(self.full[n]) == 1 else r.choice(sorted(self.full[n]))], [i]
+        for _ in range(40):
+            if step:
+                break
+            a = r.randrange(len(self.bins))
+            if self.fill[a] != self.capacity or a == b:
+                continue
+            theirs = {L[j]: j for j in self.bins[a]}
+            options = []
+            for x, i in enumerate(own):
+                for n, j in theirs.items():
+                    k = theirs.get(L[i] + gap - n)
+                    if k is not None and k != j:
+                        options.append(([j, k], [i]))
+                options += [([theirs[n]], [i, k]) for k in own[x + 1 :] if (n := L[i] + L[k] + gap) in theirs]
+            step = r.choice(options) if options else None
+        if not step and ways:
+            i, n = r.choice(ways)
+            step = [next(iter(self.full[n]))], [i]
+        if not step:
+            return None
+        a = self.of[step[0][0]]
+        self._take(own)
+        self.swap(b, *step)
+        self._place(b)
+        return a
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = 20_000) -> list[list[int]]:
+    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills, until the lower bound; see the module.
+
+    patience: how many changes with full bins (and 20 more for each underfull bin) may follow without any gain before the search ends.
     """
-    least = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: -fill[k])
-    live, failed = len(bins), 0
-    while live > least and len(open_) > 1 and failed < patience:
-        src = open_.pop()
-        if not bins[src]:
+    least = lower_bound(lengths, capacity)
+    if len(bins) <= least:
+        return bins
+    x, r = _Search(bins, lengths, capacity), random.Random(len(lengths))
+    changed = True
+    while changed and x.live > least:
+        changed, sums = False, x.sums()
+        for b in x.underfull():
+            if 0 < x.fill[b] < capacity:
+                changed |= x.raise_(b, sums)
+    failed, open_, turn, sums = 0, x.underfull(), 0, x.sums()
+    while x.live > least and open_ and failed <= patience + 20 * len(open_):
+        if turn >= len(open_):
+            turn, sums, open_ = 0, x.sums(), x.underfull()
+            if any([x.raise_(b, sums) for b in open_ if 0 < x.fill[b] < capacity]):
+                failed, open_ = 0, x.underfull()
+            r.shuffle(open_)
             continue
-        gave = False
-        for dst in open_[:neighbours]:
-            while bins[src]:
-                gap = capacity - fill[dst]
-                step = _exchange(bins[src], bins[dst], lengths, gap) if gap > 0 and fill[dst] >= fill[src] else None
-                if step is None:
-                    break
-                out, back = step
-                for i in out:
-                    bins[src].remove(i)
-                for i in back:
-                    bins[dst].remove(i)
-                bins[dst] += out
-                bins[src] += back
-                d = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                fill[dst] += d
-                fill[src] -= d
-                gave = True
-            if not bins[src]:
-                live -= 1
-                break
-        failed = 0 if gave else failed + 1
-        open_ = [k for k in open_ if fill[k] < capacity]
-        if bins[src] and gave:
-            open_.append(src)
-        open_.sort(key=lambda k: -fill[k])
-    return [b for b in bins if b]
-
-
-def _exchange(src: list[int], dst: list[int], lengths: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """Pieces to give and to take back so that dst gains most, at most gap."""
-    best, found = 0, None
-
-    def offer(gain: int, out: list[int], back: list[int]) -> None:
-        nonlocal best, found
-        if best < gain <= gap:
-            best, found = gain, (out, back)
-
-    for a in src:
-        offer(lengths[a], [a], [])
-    if best == gap:
-        return found
-    src, dst = src[:48], dst[:48]
-    for c in dst:
-        for a in src:
-            offer(lengths[a] - lengths[c], [a], [c])
-    if best == gap:
-        return found
-    for x, a in enumerate(src):
-        for a2 in src[x + 1 :]:
-            two = lengths[a] + lengths[a2]
-            for c in dst:
-                offer(two - lengths[c], [a, a2], [c])
-    for x, c in enumerate(dst):
-        for c2 in dst[x + 1 :]:
-            two = lengths[c] + lengths[c2]
-            for a in src:
-                offer(lengths[a] - two, [a], [c, c2])
-    return found
+        b = open_[turn]
+        if not 0 < x.fill[b] < capacity:  # filled or emptied meanwhile
+            open_[turn] = open_[-1]
+            open_.pop()
+            continue
+        a = x.shake(b, r)
+        if a is not None:
+            open_[turn] = a
+        failed = 0 if a is not None and x.raise_(a, sums) else failed + 1
+        turn += 1
+    return [b for b in x.bins if b]
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, block: int = 65_536) -> DataFrame:

@@ -108,17 +108,54 @@ def test_packing(spark):
     assert all(x["ids"] == ids[x["doc_id"]][x["start"] : x["start"] + x["length"]] for x in with_ids)
 
 
-def test_local_search_improves():
-    r = random.Random(5)
-    for _ in range(20):
-        lengths = [r.randint(150, 1300) for _ in range(120)]
+def planted(seed, bins, least, most, capacity=2048):
+    """Pieces that fill so many bins to the last token."""
+    r, out = random.Random(seed), []
+    for _ in range(bins):
+        cuts = sorted(r.sample(range(1, capacity), r.randint(least, most) - 1))
+        out += [b - a for a, b in zip([0, *cuts], [*cuts, capacity])]
+    r.shuffle(out)
+    return out
+
+
+def test_local_search_empties_bins():
+    fills = lambda bs, n: [sum(n[i] for i in b) for b in bs]
+    fewer = 0
+    for seed in range(6):
+        lengths = planted(seed, 200, 3, 5)
         bins = packing.best_fit(lengths, 2048)
         out = packing.local_search([list(b) for b in bins], lengths, 2048)
-        assert sorted(i for b in out for i in b) == list(range(len(lengths)))
-        fills = lambda bs: [sum(lengths[i] for i in b) for b in bs]
-        assert max(fills(out)) <= 2048 and len(out) <= len(bins) and sum(f * f for f in fills(out)) >= sum(f * f for f in fills(bins))
+        assert sorted(i for b in out for i in b) == list(range(len(lengths))) and max(fills(out, lengths)) <= 2048
+        assert sum(f * f for f in fills(out, lengths)) >= sum(f * f for f in fills(bins, lengths))
+        fewer += len(out) < len(bins)
+    assert fewer >= 5
+    r = random.Random(5)
+    lengths = [r.randint(150, 1300) for _ in range(1200)]
+    bins = packing.best_fit(lengths, 2048)
+    assert len(packing.local_search([list(b) for b in bins], lengths, 2048)) < len(bins)
     three = [[0], [1], [2, 3]]
     assert len(packing.local_search(three, [500, 500, 1500, 500], 2048)) == 2
+    assert packing.local_search([[i] for i in range(50)], [1025] * 50, 2048) == [[i] for i in range(50)]  # as few as can be
+
+
+def test_lower_bound_against_brute_force():
+    r = random.Random(2)
+    for _ in range(60):
+        lengths = [r.randint(1, 10) for _ in range(r.randint(1, 7))]
+        least = next(k for k in range(1, 8) if fits(sorted(lengths, reverse=True), [10] * k))
+        assert -(-sum(lengths) // 10) <= packing.lower_bound(lengths, 10) <= least
+
+
+def fits(lengths, room):
+    if not lengths:
+        return True
+    for k in {x: k for k, x in enumerate(room)}.values():
+        if room[k] >= lengths[0]:
+            room[k] -= lengths[0]
+            if fits(lengths[1:], room):
+                return True
+            room[k] += lengths[0]
+    return False
 
 
 # -- 3 -----------------------------------------------------------------------------------------------------------
