@@ -405,7 +405,7 @@ class _Search:
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = 20_000) -> list[list[int]]:
     """Moves and exchanges between underfull bins, each of which raises the sum of squared fills, until the lower bound; see the module.
 
-    patience: how many changes with full bins (and 20 more for each underfull bin) may follow without any gain before the search ends.
+    patience: how many changes with full bins may follow without any gain before the search ends, by the eighth of the number of underfull bins fewer.
     """
     least = lower_bound(lengths, capacity)
     if len(bins) <= least:
@@ -418,7 +418,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, patie
             if 0 < x.fill[b] < capacity:
                 changed |= x.raise_(b, sums)
     failed, open_, turn, sums = 0, x.underfull(), 0, x.sums()
-    while x.live > least and open_ and failed <= patience + 20 * len(open_):
+    while x.live > least and open_ and failed <= patience // (1 + len(open_) // 8) + len(open_) // 2:
         if turn >= len(open_):
             turn, sums, open_ = 0, x.sums(), x.underfull()
             if any([x.raise_(b, sums) for b in open_ if 0 < x.fill[b] < capacity]):
