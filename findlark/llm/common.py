@@ -138,6 +138,14 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def free(columns: list[str], name: str) -> str:
+    """A name that none of the columns has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """Writes inside remove their shuffle files when they end: what they wrote is all that is read later."""

@@ -6,8 +6,8 @@ probability in a language is the sum over all cuts of the product of that
 language's piece probabilities, found by the forward algorithm; the piece
 probabilities are learned by expectation maximisation over (word, count) lists.
 
-Training reads a bounded sample (``per_lang`` documents of each language,
-chosen by a hash of doc_id; ``per_lang_words`` most frequent words of each).
+Training reads a bounded sample (about ``per_lang`` documents of each language,
+chosen by a hash of doc_id) and learns from all words of it.
 Scoring is one narrow pass: words are dictionary-encoded by Arrow, the forward
 algorithm runs in numpy over distinct words grouped by length, and the model (a
 table of pieces x languages) is broadcast: its size is that of the vocabulary.
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,7 +106,8 @@ def forward(ids: dict[int, np.ndarray], n: int, p: np.ndarray) -> list[np.ndarra
     return alpha
 
 
-def log_forward(ids: dict[int, np.ndarray], n: int, logp: np.ndarray) -> np.ndarray:
+def log_forward(ids: dict[int, np.ndarray], n: int, logp: np.ndarray, keep: bool = False):
+    """As forward, in logarithms: that of the whole word, or (keep) all of them."""
     longest, alpha = max(ids), [np.zeros((len(ids[1]), logp.shape[1]))]
     for j in range(1, n + 1):
         acc = None
@@ -114,8 +115,30 @@ def log_forward(ids: dict[int, np.ndarray], n: int, logp: np.ndarray) -> np.ndar
             if k <= j:
                 t = alpha[-k] + logp[x[:, j - k]]
                 acc = t if acc is None else np.logaddexp(acc, t)
-        alpha = [*alpha[-longest:], acc]
-    return alpha[-1]
+        alpha = [*alpha, acc] if keep else [*alpha[-longest:], acc]
+    return alpha if keep else alpha[-1]
+
+
+def expected(ids: dict[int, np.ndarray], n: int, p: np.ndarray):
+    """(piece numbers, probability that the word is cut there) of every substring, words of n characters."""
+    if n <= LONG:
+        alpha = forward(ids, n, p)
+        beta = [np.ones_like(alpha[0]) for _ in range(n + 1)]
+        for j in range(n - 1, -1, -1):
+            beta[j] = sum(beta[j + k] * p[x[:, j]] for k, x in ids.items() if j + k <= n)
+        total = np.maximum(alpha[n], 1e-300)
+        for k, x in ids.items():
+            for i in range(n - k + 1):
+                yield x[:, i], alpha[i] * p[x[:, i]] * beta[i + k] / total
+        return
+    logp = np.log(np.maximum(p, 1e-300))
+    alpha = log_forward(ids, n, logp, keep=True)
+    beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
+    for j in range(n - 1, -1, -1):
+        beta[j] = np.logaddexp.reduce([beta[j + k] + logp[x[:, j]] for k, x in ids.items() if j + k <= n])
+    for k, x in ids.items():
+        for i in range(n - k + 1):
+            yield x[:, i], np.exp(alpha[i] + logp[x[:, i]] + beta[i + k] - alpha[n])
 
 
 @dataclass
@@ -142,15 +165,14 @@ class Model:
 
 
 def learn(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = 4, floor: float = 0.02) -> Model:
-    """EM over (language, word, count). Words longer than LONG are scored but not learned from."""
+    """EM over (language, word, count)."""
     langs = sorted({x for x, _, _ in counts})
     table = Pieces(pieces)
-    words = sorted({w for _, w, _ in counts if len(w) <= LONG})
+    words = sorted({w for _, w, _ in counts})
     index, lang_no = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(langs)}
     c = np.zeros((len(words), len(langs)))
     for lang, w, k in counts:
-        if w in index:
-            c[index[w], lang_no[lang]] += k
+        c[index[w], lang_no[lang]] += k
     groups, by = [], {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
@@ -172,16 +194,10 @@ def learn(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = 4
     for _ in range(rounds):
         e = np.zeros_like(e)
         for n, own, ids in groups:
-            alpha = forward(ids, n, p)
-            beta = [np.ones_like(alpha[0]) for _ in range(n + 1)]
-            for j in range(n - 1, -1, -1):
-                beta[j] = sum(beta[j + k] * p[x[:, j]] for k, x in ids.items() if j + k <= n)
-            share = own / np.maximum(alpha[n], 1e-300)
-            for k, x in ids.items():
-                for i in range(n - k + 1):
-                    w = alpha[i] * p[x[:, i]] * beta[i + k] * share
-                    for z in range(len(langs)):
-                        e[:, z] += np.bincount(x[:, i], weights=w[:, z], minlength=table.size + 2)[:-1]
+            for x, w in expected(ids, n, p):
+                w = w * own
+                for z in range(len(langs)):
+                    e[:, z] += np.bincount(x, weights=w[:, z], minlength=table.size + 2)[:-1]
         p = normal(e)
     return Model(langs, table, p)
 
@@ -215,7 +231,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, per_lang: int = 3000, per_lang_words: int = 30_000) -> Model | None:
+def train(docs: DataFrame, per_lang: int = 3000) -> Model | None:
     """Learns from a bounded hash sample of docs(doc_id, text, lang) rows that have text and lang; None if there are none."""
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 4, 2))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -223,9 +239,8 @@ def train(docs: DataFrame, per_lang: int = 3000, per_lang_words: int = 30_000) -
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_lang / n))])
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    counts = word_counts(sample).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang_words).drop("r").collect()
-    return learn([tuple(r) for r in counts], vocabulary()) if counts else None
+    counts = word_counts(sample).toArrow()
+    return learn(list(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")))), vocabulary()) if counts.num_rows else None
 
 
 SCHEMA = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
@@ -249,17 +264,17 @@ def scores(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]
     return [model.langs[k] if m else "und" for k, m in zip(best.tolist(), (n > 0).tolist())], np.where(n > 0, sure, 0.0)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score; input columns of those names are replaced."""
+def predict(docs: DataFrame, model: Model | None, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs with the language and its score under the names given; input columns of those names are replaced."""
     common.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.drop(lang_as, score_as)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
 
     def run(batches):
         for b in common.chunks(batches):
             lang, score = scores(shipped.value, b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, lang_as, score_as])
 
     return docs.mapInArrow(run, schema)
 

@@ -85,6 +85,31 @@ def test_stages_keep_columns(spark, docs, tmp_path):
     assert {r["doc_id"] for r in out} == {1, None, 7, 8}
 
 
+CLASHES = ("score", "lang_pred", "sequence_id", "offset", "spans", "n", "fp", "_key", "x", "y", "group", "label", "value", "_other0", "xs", "lab", "n_shingles", "_lang_pred")
+
+
+def test_clashing_columns_keep_their_values(spark, docs, benchmark, tmp_path):
+    """Every column goes through every operator that hands columns on, and through every stage, as it came."""
+    wide = docs
+    for k, c in enumerate(CLASHES):
+        wide = wide.withColumn(c, F.concat(F.lit(f"{k} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    values = lambda rows, columns: {(r["doc_id"], *(r[c] for c in columns)) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, str(tmp_path))
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert rows and values(rows, CLASHES) == {(r["doc_id"], *(f"{k} {'none' if r['doc_id'] is None else r['doc_id']}" for k in range(len(CLASHES)))) for r in rows}, name
+    plain = {(r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in simjoin.join(docs.select("doc_id", "text")).collect()}
+    got = simjoin.join(wide)
+    kept = [c for c in CLASHES if c not in ("group", "n_shingles")]
+    rows = got.collect()
+    assert {(r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in rows} == plain
+    assert values(rows, kept) == values(wide.collect(), kept)
+    assert values(langid.predict(wide, langid.train(wide)).collect(), ["n", "_key"]) == values(wide.collect(), ["n", "_key"])
+    assert len(packing.pack(packing.pieces(wide), 20).columns) == 7
+
+
 def test_pages_and_chat_edges(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "http://h.x/a", "<p>a"), (3, "http://h.x/a", "<p>a"), (None, "no url", "<" * 5000), (6, "http://h.x/b", "<div " * 2000 + "x")], "page_id long, url string, html string")
     rows = extraction.extract(pages.withColumn("text", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("x", F.lit(1))).collect()
