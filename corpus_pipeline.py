@@ -2,7 +2,11 @@
 
 Each stage is ``function(spark, docs, sf_dir) -> DataFrame``; its result is
 written as Parquet and reread as the next stage's docs. All but the last return
-the columns of documents.
+the columns of documents, and any others, as they came.
+
+Defined results: null, empty and letterless texts go in the first stage; of rows
+that repeat one stays; a null doc_id is carried along; empty tables give empty
+results; no column's name means anything but doc_id, text and lang (to learn from).
 """
 
 from __future__ import annotations
@@ -10,14 +14,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from findlark.llm import common, decontam, langid, packing, secrets, simjoin
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language stays in doubt (best language under one half)."""
-    known = langid.predict(docs, langid.train(docs))
-    return known.where("lang_pred <> 'und' and score >= 0.5").select(docs.columns)
+    lang, score = (common.free(docs.columns, c) for c in ("lang_pred", "score"))
+    known = langid.predict(docs, langid.train(docs), lang, score)
+    return known.where((F.col(lang) != "und") & (F.col(score) >= 0.5)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
