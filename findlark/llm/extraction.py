@@ -2,7 +2,7 @@
 
 A page is cut into blocks by its tags. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are known by tag, role,
-class or id and go. If the page marks an article, its blocks are the main text;
+class or id - of whatever tag has them - and what is hidden by attribute or style; all these go. If the page marks an article, its blocks are the main text;
 otherwise all other blocks are.
 
 What templates repeat without saying so is found on the token streams of a host:
@@ -44,16 +44,24 @@ from .ngramlm import pack, unpack
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*>|[^>]*(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+#: Tags outside BOX that the next block ends.
+ENDED = frozenset("p h1 h2 h3 h4 h5 h6 span a b i em strong small font dt dd".split())
+LISTS = frozenset("ul ol table menu".split())
+ARTICLE_END = re.compile(r"</?(?:article|main)\b", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 BOX = frozenset("article aside body details dialog div fieldset figure footer form head header html li main menu nav ol section table tbody td tfoot th thead tr ul blockquote center dl button".split())
 NOISE_TAGS = frozenset("nav footer aside form head dialog menu button fieldset".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus reply replies respond share sharing social related recommended recommendations widget toolbar pagination pager login search disclaimer copyright responses discussion masthead topbar sidenav".split())
+NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist commentlists disqus reply replies respond share sharing social related recommended recommendations widget toolbar pagination pager login search disclaimer copyright responses discussion masthead topbar sidenav".split())
+#: Words that articles use as well: a class of several words is noise by them only if all its words are of these, of NOISE_WORDS or of PARTS.
+WEAK_WORDS = frozenset("banner notice menu comment reply replies respond share sharing social related recommended search responses discussion copyright disclaimer promotion consent".split())
+PARTS = frozenset("area bar block box button buttons col column container content footer form group head header icon icons inner item items left link links list main outer panel posts post article articles section site stories thread title top wrap wrapper right row widget page your policy message overlay form field input results count feed user users reader".split()) | frozenset("0123456789")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 MAIN_WORDS = frozenset(("articlebody", "article-body", "post-content", "entry-content", "article-content", "story-body", "post-body", "main-content"))
 
@@ -69,6 +77,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
+    odd = 0  # open tags outside BOX that are noise
     stack: list[tuple[str, int, int, bool]] = []  # tag, whether it is noise, whether it is the article, whether only its name says noise
     noise = article = 0
     parts: list[str] = []
@@ -78,10 +87,12 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal parts, linked, total
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text and not (total and linked > 0.6 * total and not article):
+            if text and not (total and linked > 0.6 * total and not article and listed):
                 out.append(Block(text, article > 0))
         parts, linked, total = [], 0, 0
 
+    listed = 0  # open lists and tables
+
     def add(piece: str):
         nonlocal linked, total
         if piece and not noise:
@@ -101,18 +112,35 @@ def blocks(html: str | None) -> list[Block]:
                 parts.append(" ") if parts else None
             continue
         tag, closing = tag.lower(), m.group(2)
+        plain = tag not in BOX
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
-            continue
-        flush()
-        if tag not in BOX:
+        else:
+            flush()
+            if odd and not closing:  # what stands open inside a line ends with it
+                while stack and stack[-1][0] in ENDED:
+                    noise, odd = noise - stack.pop()[1], odd - 1
+        if plain:
+            if closing:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1) if odd else -1
+                if k >= 0:
+                    noise -= sum(x[1] for x in stack[k:])
+                    article -= sum(x[2] for x in stack[k:])
+                    odd -= sum(x[0] not in BOX for x in stack[k:])
+                    listed -= sum(x[0] in LISTS for x in stack[k:])
+                    del stack[k:]
+            elif tag not in VOID and len(m.group(4)) > 1 and not m.group(4).rstrip(">").endswith("/") and marks(m.group(4), tag)[0]:
+                stack.append((tag, 1, 0, True))
+                noise, odd = noise + 1, odd + 1
             continue
         if closing:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
             if k >= 0:
                 noise -= sum(x[1] for x in stack[k:])
                 article -= sum(x[2] for x in stack[k:])
+                odd -= sum(x[0] not in BOX for x in stack[k:])
+                listed -= sum(x[0] in LISTS for x in stack[k:])
                 del stack[k:]
             continue
         if m.group(4).rstrip(">").endswith("/") or tag == "html":
@@ -120,6 +148,7 @@ def blocks(html: str | None) -> list[Block]:
         if tag == "body":  # an open head ends here
             noise -= sum(x[1] for x in stack)
             article -= sum(x[2] for x in stack)
+            odd = listed = 0
             stack.clear()
         elif tag == "li":  # implied end
             if stack and stack[-1][0] == "li":
@@ -128,26 +157,11 @@ def blocks(html: str | None) -> list[Block]:
         named = False  # noise by class or id alone
         bad, good = tag in NOISE_TAGS or (tag == "header" and not article), tag in ("article", "main")
         if len(m.group(4)) > 1:
-            for name, *values in ATTR.findall(m.group(4)):
-                name, value = name.lower(), "".join(values).lower()
-                if name in ("class", "id"):
-                    words = set(re.split(r"[^a-z0-9]+", value))
-                    if words & NOISE_WORDS and not words & {"has", "with", "no", "without"}:
-                        bad = named = True
-                    if MAIN_WORDS & set(value.split()):
-                        good = True
-                    if "header" in words and not article and tag != "body":
-                        bad = True
-                elif name == "role":
-                    bad |= value in NOISE_ROLES
-                    good |= value == "main"
-                elif name == "itemprop":
-                    good |= value == "articlebody"
-                elif name == "style":
-                    bad |= "display:none" in value.replace(" ", "")
-                elif name == "aria-hidden":
-                    bad |= value == "true"
+            said, good_, head, by_role = marks(m.group(4), tag)
+            bad, good, named = bad or said or by_role or (head and not article and tag != "body"), good or good_, said
         bad = bad and tag != "body"
+        if tag == "article" and teaser(html, m.end(), stack):
+            bad = True
         good = good and not bad
         if good and noise and not any(b.article for b in out):
             # What holds the page's article is a wrapper, whatever its class says.
@@ -158,6 +172,7 @@ def blocks(html: str | None) -> list[Block]:
         stack.append((tag, int(bad), int(good), named and tag not in NOISE_TAGS))
         noise += bad
         article += good
+        listed += tag in LISTS
     if at < len(html):
         add(html[at:])
     flush()
@@ -165,6 +180,57 @@ def blocks(html: str | None) -> list[Block]:
     return own or out
 
 
+#: A card that only leads to another page: an article tag with no paragraph of its own, in a main text that has articles besides.
+def teaser(html: str, at: int, stack: list) -> bool:
+    if not any(x[2] for x in stack):
+        return False
+    end = ARTICLE_END.search(html, at)
+    inside = html[at : end.start() if end else len(html)]
+    text = re.sub(r"<[^>]*>", " ", inside)
+    links = " ".join(re.findall(r"<a\b[^>]*>(.*?)</a", inside, re.S | re.I))
+    return len(re.sub(r"<[^>]*>", " ", links).split()) > 0.6 * len(text.split()) > 0
+
+
+def noisy(value: str, tag: str) -> bool:
+    """Whether a class or id attribute says that a tag is no main text."""
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        hit = NOISE_WORDS.intersection(words)
+        if not hit or {"has", "with", "no", "without"}.intersection(words):
+            continue
+        if tag not in BOX and len(words) > 1 and not all(w in NOISE_WORDS or w in PARTS for w in words):
+            continue  # a line of the text needs a plainer word
+        if tag == "section" and words in (["discussion"], ["responses"]):
+            continue  # of a paper
+        if not hit <= WEAK_WORDS or all(w in NOISE_WORDS or w in PARTS for w in words):
+            return True
+    return False
+
+
+def marks(attributes: str, tag: str) -> tuple[bool, bool, bool, bool]:
+    """What a tag's attributes say: noise by class or id, or hidden; the main text; a page header by class or id; noise by role."""
+    bad = good = head = by_role = False
+    bare = QUOTED.sub('""', attributes).lower()
+    if "hidden" in bare and re.search(r"(?<![\w-])hidden(?![\w-])", bare):
+        bad = True
+    for name, *values in ATTR.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name in ("class", "id"):
+            bad |= noisy(value, tag)
+            good |= not MAIN_WORDS.isdisjoint(value.split())
+            head |= "header" in re.split(r"[^a-z0-9]+", value)
+        elif name == "role":
+            by_role |= value in NOISE_ROLES
+            good |= value == "main"
+        elif name == "itemprop":
+            good |= value == "articlebody"
+        elif name == "style":
+            bad |= "display:none" in (v := value.replace(" ", "")) or "visibility:hidden" in v
+        elif name == "aria-hidden":
+            bad |= value == "true"
+    return bad or by_role and tag not in BOX, good and not bad, head, by_role
+
+
 def host(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][\w+.-]*://([^/?#\s]+)", url or "")
     name = m.group(1).rsplit("@", 1)[-1].lower() if m else (url or "")

@@ -42,6 +42,31 @@ def test_extraction_structure():
     assert extraction.blocks("<p>open <script>never closed") == [extraction.Block("open", False)]
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><p>one</p><p class="advert">Buy now</p><p>two</p></article>', "one two"),
+        ('<article><p>one <span class="ad">buy</span> two</p></article>', "one two"),
+        ('<article><h3 class="related">More</h3><p>one</p><div hidden>x</div><p hidden>y</p><p style="display: none">z</p><p data-x="hidden">two</p></article>', "one two"),
+        ('<article><p>one</p><ol class="commentlist"><li>first!</li></ol></article>', "one"),
+        ('<article><section class="discussion"><p>one</p></section><section class="search-results-analysis"><p>two</p></section></article>', "one two"),
+        ('<article><p>one</p><div class="search-box">find</div><div class="share-buttons">tell</div><div class="comment-list"><p>x</div></article>', "one"),
+        ('<main><article><h1>Head</h1><p>one two three</p></article><article><h2><a href=x>Another page</a></h2></article></main>', "Head one two three"),
+        ("<div><p><a href=x>one link</a></p></div>", "one link"),
+        ('<article><p class="notice">no<p>one<p><span class="ad">no<p>two</article>', "one two"),
+        ('<article><p data-x="' + "z" * 9000 + '>LEAK">one</p></article>', "one"),
+        ("<article><p title='" + "<b>" * 3000 + "'>one <b class=x>two</b></p></article>", "one two"),
+    ],
+)
+def test_extraction_marks(html, want):
+    assert " ".join(b.text for b in extraction.blocks(html)) == want
+
+
+def test_extraction_of_odd_quotes_ends():
+    for html in ('<a b="' * 20_000, "<p x='\"" * 20_000, "<" * 200_000, '<p class="' + "a " * 100_000):
+        extraction.blocks(html)
+
+
 def test_extraction_suffixes(spark):
     r = random.Random(3)
     notice = "this passage stands on every page of the host and says nothing at all about it"
