@@ -32,6 +32,7 @@ class SearchResult:
     matches: DataFrame
     diagnostics: Diagnostics
     limit: int = 0
+    observe: Callable[[float, int, str], None] | None = None
 
     def total(self, compat: bool = False) -> int:
         """Matching documents before the limit. compat: what an engine that prunes an optional-terms query to the top k would say."""
@@ -39,7 +40,17 @@ class SearchResult:
         return min(n, self.limit) if compat and self.limit > 0 and self.diagnostics.strategy == "bool_or_topk" else n
 
     def rows(self):
-        return self.results.collect()
+        """Runs the query; the engine's statistics get its time and how many documents it returned, or its error."""
+        began = time.perf_counter()
+        try:
+            got = self.results.collect()
+        except Exception as e:
+            if self.observe:
+                self.observe(time.perf_counter() - began, 0, str(e) or type(e).__name__)
+            raise
+        if self.observe:
+            self.observe(time.perf_counter() - began, len(got), "")
+        return got
 
     def diagnose(self) -> dict:
         """Runs the query once and tells what it did: strategy, why term-only paths did not apply, matching and returned documents, seconds."""
@@ -192,26 +203,36 @@ class Engine:
         out = ranked(matches, k, self.scorer is not None, self.score_digits)
         seconds = time.perf_counter() - began
         reasons = tuple(skip_reasons(q))
+        observe = None
         if self.stats is not None:
-            self.stats.observe(repr(q), name, seconds, -1, skip_reasons=reasons)
-        return SearchResult(out, matches, Diagnostics(name, reasons, seconds), k)
+            observe = lambda s, returned, error: self.stats.observe(repr(q), name, seconds + s, returned, error, reasons)
+        return SearchResult(out, matches, Diagnostics(name, reasons, seconds), k, observe)
+
+    def _parse(self, text: str) -> Query | None:
+        """A query string; what cannot be read is an error of the statistics as well."""
+        try:
+            return parse(text)
+        except Exception as e:
+            if self.stats is not None:
+                self.stats.observe(text, "", 0.0, 0, str(e) or type(e).__name__)
+            raise
 
     def _default(self, q: Query, field_: str | None = None) -> Query:
         return bind(q, field_ if field_ is not None else "" if self.multi_field else DEFAULT_FIELD)
 
     def search_documents(self, text: str, k: int = 0) -> SearchResult:
         """A query string."""
-        return self.search(self._default(parse(text)), k)
+        return self.search(self._default(self._parse(text)), k)
 
     def search_plain_text(self, text: str, k: int = 0) -> SearchResult:
         """A text without query syntax: its tokens are alternatives."""
         return self.search(self._default(Term(text)), k)
 
     def search_field(self, name: str, text: str, k: int = 0) -> SearchResult:
-        return self.search(parse(text), k, [name])
+        return self.search(self._parse(text), k, [name])
 
     def search_fields(self, names: list[str], text: str, k: int = 0) -> SearchResult:
-        return self.search(parse(text), k, names)
+        return self.search(self._parse(text), k, names)
 
     def search_phrase(self, text: str, k: int = 0, fields: list[str] | None = None) -> SearchResult:
         return self.search(Phrase(text), k, fields)

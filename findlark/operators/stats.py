@@ -36,11 +36,13 @@ class SearchStats:
         self.total += 1
         self.errors += bool(error)
         self.zero += not error and returned == 0
-        s = self.by.setdefault(strategy, {"count": 0, "seconds": 0.0, "longest": 0.0, "returned": 0})
+        s = self.by.setdefault(strategy, {"count": 0, "seconds": 0.0, "longest": 0.0, "returned": 0, "zero": 0, "errors": 0})
         s["count"] += 1
         s["seconds"] += seconds
         s["longest"] = max(s["longest"], seconds)
         s["returned"] += returned
+        s["zero"] += not error and returned == 0
+        s["errors"] += bool(error)
         self.events.append(Event(hashlib.sha256(query.encode()).hexdigest()[:16], strategy, seconds, returned, error, skip_reasons))
 
     def recent(self) -> list[Event]:

@@ -13,8 +13,9 @@ from .operators import evaluate as ev
 from .operators import highlight as hl
 from .operators import index as ix
 from .operators.filters import bloom_of, make_filter
+from .operators.stats import SearchStats
 from .operators.scoring import BM25, TFIDF, RankProfile
-from .plans.ast import MUST, NOT, SHOULD, Boolean, FieldClause, Phrase, Prefix, Term, must, must_not, should
+from .plans.ast import MUST, NOT, SHOULD, Boolean, FieldClause, Phrase, Prefix, QueryError, Term, must, must_not, should
 
 DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,22 @@ def documents(spark: SparkSession, sf_dir: str, scorer=None, **options) -> Engin
     return Engine(spark, scorer=scorer, score_digits=DIGITS, **options).index_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), check=False)
 
 
+#: By session and table, where its sealed index is.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, scorer=None) -> Engine:
+    """An engine over the sealed index of documents.text, which is built and written once a session."""
+    from .sources import store
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = _folder(spark)
+        store.save_segment(documents(spark, sf_dir), path)
+        _BUILT[key] = path
+    return store.load(spark, _BUILT[key], scorer=scorer, score_digits=DIGITS)
+
+
 def parts(spark: SparkSession, sf_dir: str, scorer=None) -> Engine:
     """An engine over three fields of part."""
     rows = ix.long_form(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
@@ -200,12 +217,12 @@ def clean_text(spark, sf):
 
 @query("term_search", f"WITH {TOK}, {terms_sql([(0, 0, 'oror')])} {top(FLAT, 0)}")
 def term_search(spark, sf):
-    return documents(spark, sf, BM25()).search(Term("OROR")).results
+    return built(spark, sf, BM25()).search(Term("OROR")).results
 
 
 @query("plain_text_search", f"WITH {TOK}, {terms_sql([(0, 0, 'oror'), (0, 1, 'atshsh'), (0, 2, 'oror')])} {top(FLAT, 0)}")
 def plain_text_search(spark, sf):
-    return documents(spark, sf, BM25()).search_plain_text("+oror -atshsh oror").results
+    return built(spark, sf, BM25()).search_plain_text("+oror -atshsh oror").results
 
 
 def _field_sql(where: str, terms: list[str], score: str = BM, weight: str = "1") -> str:
@@ -242,7 +259,7 @@ def _bool(name: str, text: str, clauses: list[tuple[int, int, str]], occur: dict
 
     @query(name, sql)
     def run(spark, sf):
-        return documents(spark, sf, BM25()).search_documents(text, k).results
+        return built(spark, sf, BM25()).search_documents(text, k).results
 
     return run
 
@@ -263,7 +280,7 @@ c AS (SELECT doc_id, 0 AS clause, 'must' AS occur, 1 AS u, tf AS t, s FROM sc WH
 {top(clauses_sql(_MUST2 + " AND count(*) FILTER (WHERE occur = 'not') = 0", "false"), 0)}""",
 )
 def bool_nested(spark, sf):
-    return documents(spark, sf, BM25()).search_documents("+erin +(oror atshsh) -of").results
+    return built(spark, sf, BM25()).search_documents("+erin +(oror atshsh) -of").results
 
 
 # -- phrases and prefixes --------------------------------------------------------------------------------------
@@ -279,7 +296,7 @@ _OF_THE = "ph AS (SELECT a.doc_id, count(*) AS tf FROM tok a JOIN tok b ON b.doc
 
 @query("phrase_exact", f"WITH {TOK}, {_phrase_scored(_OF_THE)} {top(FLAT, 0)}")
 def phrase_exact(spark, sf):
-    return documents(spark, sf, BM25()).search_documents('"of the"').results
+    return built(spark, sf, BM25()).search_documents('"of the"').results
 
 
 _NEAR = """n1 AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS p FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 1 + {g} WHERE a.term = '{a}' AND b.term = '{b}' GROUP BY ALL)"""
@@ -287,7 +304,7 @@ _NEAR = """n1 AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS p FROM tok a JOIN t
 
 @query("phrase_near_1", f"WITH {TOK}, {_NEAR.format(g=1, a='the', b='erin')}, {_phrase_scored('ph AS (SELECT doc_id, count(*) AS tf FROM n1 GROUP BY ALL)')} {top(FLAT, 0)}")
 def phrase_near_1(spark, sf):
-    return documents(spark, sf, BM25()).search_phrase_near("the erin", 1).results
+    return built(spark, sf, BM25()).search_phrase_near("the erin", 1).results
 
 
 @query(
@@ -295,7 +312,7 @@ def phrase_near_1(spark, sf):
     f"WITH {TOK}, {_NEAR.format(g=4, a='the', b='of')}, n2 AS (SELECT n1.doc_id, s, min(c.pos) AS p FROM n1 JOIN tok c ON c.doc_id = n1.doc_id AND c.pos > n1.p AND c.pos <= n1.p + 5 WHERE c.term = 'the' GROUP BY ALL), {_phrase_scored('ph AS (SELECT doc_id, count(*) AS tf FROM n2 GROUP BY ALL)')} {top(FLAT, 20)}",
 )
 def phrase_near_3tok(spark, sf):
-    return documents(spark, sf, BM25()).search_phrase_near("the of the", 4, 20).results
+    return built(spark, sf, BM25()).search_phrase_near("the of the", 4, 20).results
 
 
 @query(
@@ -309,7 +326,7 @@ def phrase_multi_field(spark, sf):
 
 @query("phrase_single_token", f"WITH {TOK}, {terms_sql([(0, 0, 'oror')])} {top(FLAT, 0)}")
 def phrase_single_token(spark, sf):
-    return documents(spark, sf, BM25()).search_phrase("Oror!").results
+    return built(spark, sf, BM25()).search_phrase("Oror!").results
 
 
 _PRE = "ph AS (SELECT doc_id, sum(tf) AS tf FROM post WHERE starts_with(term, 'oro') GROUP BY ALL)"
@@ -317,7 +334,7 @@ _PRE = "ph AS (SELECT doc_id, sum(tf) AS tf FROM post WHERE starts_with(term, 'o
 
 @query("prefix_search", f"WITH {TOK}, {_phrase_scored(_PRE)} {top(FLAT, 0)}")
 def prefix_search(spark, sf):
-    return documents(spark, sf, BM25()).search_documents("oro*").results
+    return built(spark, sf, BM25()).search_documents("oro*").results
 
 
 @query(
@@ -326,7 +343,7 @@ def prefix_search(spark, sf):
 c AS (SELECT doc_id, 'must' AS occur, 1 AS u, tf AS t, s FROM sc UNION ALL SELECT doc_id, 'must', 1, tf, s FROM t2) {top(clauses_sql(_MUST2, "false"), 0)}""",
 )
 def prefix_must(spark, sf):
-    return documents(spark, sf, BM25()).search(Boolean((must(Prefix("oro")), must(Term("the"))))).results
+    return built(spark, sf, BM25()).search(Boolean((must(Prefix("oro")), must(Term("the"))))).results
 
 
 @query(
@@ -335,12 +352,12 @@ def prefix_must(spark, sf):
 c AS (SELECT doc_id, 'should' AS occur, 1 AS u, tf AS t, s FROM x UNION ALL SELECT doc_id, 'should', count(DISTINCT token), sum(tf), sum(s) FROM sc GROUP BY doc_id) {top(clauses_sql("true", "false"), 50)}""",
 )
 def bool_fallback_mixed(spark, sf):
-    return documents(spark, sf, BM25()).search(Boolean((should(Phrase("of the")), should(Term("erin-thin")))), 50).results
+    return built(spark, sf, BM25()).search(Boolean((should(Phrase("of the")), should(Term("erin-thin")))), 50).results
 
 
 @query("bool_must_not_only", "SELECT ''::VARCHAR AS doc_id, 0::BIGINT AS unique_matches, 0::BIGINT AS total_matches, 0::DOUBLE AS score WHERE false")
 def bool_must_not_only(spark, sf):
-    return documents(spark, sf, BM25()).search(Boolean((must_not(Term("the")),))).results
+    return built(spark, sf, BM25()).search(Boolean((must_not(Term("the")),))).results
 
 
 # -- ranking ---------------------------------------------------------------------------------------------------
@@ -351,17 +368,17 @@ _SHOULD = by_clause({0: "should", 1: "should", 2: "should"})
 
 @query("bm25_topk", f"WITH {TOK}, {terms_sql(_THREE)}, {_SHOULD} {top(clauses_sql('true'), 10)}")
 def bm25_topk(spark, sf):
-    return documents(spark, sf, BM25()).search_documents("erin oror the", 10).results
+    return built(spark, sf, BM25()).search_documents("erin oror the", 10).results
 
 
 @query("tfidf_topk", f"WITH {TOK}, {terms_sql(_THREE, TI)}, {_SHOULD} {top(clauses_sql('true'), 10)}")
 def tfidf_topk(spark, sf):
-    return documents(spark, sf, TFIDF()).search_documents("erin oror the", 10).results
+    return built(spark, sf, TFIDF()).search_documents("erin oror the", 10).results
 
 
 @query("no_scorer_topk", f"WITH {TOK}, {terms_sql(_THREE, '0.0')}, {_SHOULD} {top(clauses_sql('true'), 10)}")
 def no_scorer_topk(spark, sf):
-    return documents(spark, sf).search_documents("erin oror the", 10).results
+    return built(spark, sf).search_documents("erin oror the", 10).results
 
 
 @query("rank_profile_topk", f"WITH {FIELD_TOK}, {_field_sql('true', ['red', 'economy'], BM, "CASE field WHEN 'p_name' THEN 3 WHEN 'p_type' THEN 0 ELSE 1 END * 2")} {top(FLAT, 15)}")
@@ -383,7 +400,7 @@ def explain_doc(spark, sf):
 
 @query("total_results", f"WITH {TOK} SELECT count(DISTINCT doc_id)::BIGINT AS total FROM post WHERE term IN ('erin', 'oror', 'the')")
 def total_results(spark, sf):
-    return documents(spark, sf, BM25()).search_documents("erin oror the", 10).matches.agg(F.count("*").alias("total"))
+    return built(spark, sf, BM25()).search_documents("erin oror the", 10).matches.agg(F.count("*").alias("total"))
 
 
 _BATCH = rf"""qt AS (SELECT item_id AS query_id, lower(unnest(l)) AS term, generate_subscripts(l, 1) AS token FROM (SELECT item_id, regexp_extract_all(text, '{RUN}') AS l FROM benchmark)),
@@ -394,7 +411,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _hits(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return documents(spark, sf, BM25()).search_many(queries, 10)
+    return built(spark, sf, BM25()).search_many(queries, 10)
 
 
 @query("batch_topk", f"WITH {TOK}, {_BATCH} SELECT query_id, rank::INT AS rank, {OUT} FROM hits")
@@ -518,7 +535,7 @@ def eval_ndcg(spark, sf):
 @query("typed_workload_terms", f"WITH {TOK} SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term HAVING count(*) BETWEEN greatest(2, (SELECT (0.001 * n)::INT FROM st)) AND greatest(2, (SELECT floor(0.1 * n)::INT FROM st)) ORDER BY md5(term), term LIMIT 200")
 def typed_workload_terms(spark, sf):
     n = table(spark, sf, "documents").count()
-    return ev.workload_terms(documents(spark, sf).index.term_stats(), n, 200)
+    return ev.workload_terms(built(spark, sf).index.term_stats(), n, 200)
 
 
 @query(
@@ -532,7 +549,7 @@ def typed_workload_bigrams(spark, sf):
 
 @query("typed_workload_prefixes", f"WITH {TOK} SELECT substr(term, 1, 3) AS prefix, count(*)::BIGINT AS terms FROM (SELECT DISTINCT term FROM post WHERE length(term) > 3) GROUP BY prefix ORDER BY md5(prefix), prefix LIMIT 200")
 def typed_workload_prefixes(spark, sf):
-    return ev.workload_prefixes(documents(spark, sf).index.term_stats(), 200)
+    return ev.workload_prefixes(built(spark, sf).index.term_stats(), 200)
 
 
 @query(
@@ -545,9 +562,29 @@ def exact_answers(spark, sf):
     return ev.exact_answers(documents(spark, sf).index.postings, q)
 
 
-@query("search_stats_by_strategy", "SELECT event_type AS strategy, count(*)::BIGINT AS n, round(sum(value), 2) AS total, max(value) AS longest, count(*) FILTER (WHERE value < 5)::BIGINT AS quick FROM events GROUP BY event_type")
-def search_stats_by_strategy(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("longest"), F.count_if(F.col("value") < 5).alias("quick"))
+_ASKED = {
+    "erin": ("term", "SELECT count(*) AS n FROM post WHERE term = 'erin'"),
+    "zzqx": ("term", "SELECT count(*) AS n FROM post WHERE term = 'zzqx'"),
+    '"of the"': ("phrase", "SELECT count(DISTINCT a.doc_id) AS n FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'"),
+    "oro*": ("prefix", "SELECT count(DISTINCT doc_id) AS n FROM post WHERE term LIKE 'oro%'"),
+    "+erin +the": ("bool_and_fast", "SELECT count(*) AS n FROM (SELECT doc_id FROM post WHERE term IN ('erin', 'the') GROUP BY doc_id HAVING count(*) = 2)"),
+    "+erin +zzqx": ("bool_and_fast", "SELECT 0 AS n"),
+    '"oops': ("", "SELECT 0 AS n"),
+}
+
+
+@query("search_stats", f"WITH {TOK}, asked AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS strategy, n FROM ({sql})" for kind, sql in _ASKED.values()) + ") SELECT strategy, count(*)::BIGINT AS n, sum(n)::BIGINT AS returned, (count(*) FILTER (WHERE n = 0 AND strategy <> ''))::BIGINT AS empty, (count(*) FILTER (WHERE strategy = ''))::BIGINT AS errors FROM asked GROUP BY strategy")
+def search_stats(spark, sf):
+    """What the statistics of an engine have after a few searches, one of which cannot be read."""
+    e = built(spark, sf, BM25())
+    e.stats = SearchStats()
+    for text in _ASKED:
+        try:
+            e.search_documents(text).rows()
+        except QueryError:
+            pass
+    rows = [(k, v["count"], v["returned"], v["zero"], v["errors"]) for k, v in e.stats.by.items()]
+    return spark.createDataFrame(rows, "strategy string, n long, returned long, empty long, errors long")
 
 
 def _membership(kind: str):

@@ -89,14 +89,62 @@ def _sorted(df: DataFrame, *by: str) -> DataFrame:
     return df.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
+def faults(postings: DataFrame) -> dict[str, int]:
+    """What is wrong with sorted postings, by kind: rows without a term or document, out of order, or there twice. One narrow pass; equal keys are in one range partition."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, empty, disorder, twice = None, 0, 0, 0
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("field", "term", "doc_id", "ver"))))
+            for k in keys:
+                empty += not k[1] or not k[2]
+                if last is not None and None not in k:
+                    a, c = tuple(x.encode() for x in last[:3]), tuple(x.encode() for x in k[:3])
+                    disorder += c < a
+                    twice += k == last
+                last = k if None not in k else last
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([x], np.int64)) for x in (empty, disorder, twice)], names=["empty", "disorder", "twice"])
+
+    got = postings.select("field", "term", "doc_id", "ver").mapInArrow(run, "empty long, disorder long, twice long").agg(*(F.sum(c).alias(c) for c in ("empty", "disorder", "twice"))).first()
+    return {k: n for k, n in got.asDict().items() if n}
+
+
+def _files(spark: SparkSession, data: str) -> DataFrame:
+    """(part, bytes, sha256) of the files of a segment."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{data}/{x}" for x in ("postings", "doc_stats", "term_stats")])
+    return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify(spark: SparkSession, path: str) -> list[str]:
+    """The files of a stored segment that are missing, new or not as they were written."""
+    raw = _read(spark, f"{path}/manifest.json")
+    if raw is None:
+        raise StoreError(f"no manifest in {path}")
+    data = f"{path}/{json.loads(raw)['data']}"
+    kept, now = spark.read.parquet(f"{data}/checksums"), _files(spark, data)
+    wrong = kept.exceptAll(now).select("part").union(now.exceptAll(kept).select("part")).distinct()
+    return sorted(r["part"] for r in wrong.collect())
+
+
 def _save(engine: Engine, path: str, mode: str, postings: DataFrame, stats: DataFrame, dead: DataFrame | None) -> None:
     spark = engine.spark
     data = f"{path}/{uuid.uuid4().hex}"  # a new folder each time; the manifest says which one counts
     old = _read(spark, f"{path}/manifest.json")
-    _sorted(postings, "field", "term", "doc_id").write.parquet(f"{data}/postings")
-    _sorted(stats, "field", "doc_id").write.parquet(f"{data}/doc_stats")
+    # What is indexed is worked out once, as it comes; order is made of what was written.
+    for name, df, by in (("postings", postings, ("field", "term", "doc_id")), ("doc_stats", stats, ("field", "doc_id"))):
+        df.write.parquet(f"{data}/raw-{name}")
+        _sorted(spark.read.parquet(f"{data}/raw-{name}"), *by).write.parquet(f"{data}/{name}")
+        _delete(spark, f"{data}/raw-{name}")
     if mode == "segment":
-        _sorted(postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "field", "term").write.parquet(f"{data}/term_stats")
+        wrong = faults(spark.read.parquet(f"{data}/postings"))
+        if wrong:
+            _delete(spark, data)
+            raise StoreError(f"the postings are no segment: {wrong}")
+        _sorted(spark.read.parquet(f"{data}/postings").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "field", "term").write.parquet(f"{data}/term_stats")
+        _files(spark, data).write.parquet(f"{data}/checksums")
     if dead is not None:
         dead.distinct().write.parquet(f"{data}/tombstones")
     codec, sum_ = "", ""
@@ -124,8 +172,8 @@ def save_segment(engine: Engine, path: str) -> None:
     _save(engine, path, "segment", engine.index.live_postings(F.lit(True)), engine.index.live_stats(), None)
 
 
-def load(spark: SparkSession, path: str, analyzer=None, expect_fingerprint: str | None = None, mmap: bool = False, **options) -> Engine:
-    """An engine over a saved index. The analyzer's fingerprint must be the stored one; mmap is accepted and means nothing here."""
+def load(spark: SparkSession, path: str, analyzer=None, expect_fingerprint: str | None = None, mmap: bool = False, check: bool = False, **options) -> Engine:
+    """An engine over a saved index. The analyzer's fingerprint must be the stored one; check compares a segment's files with their checksums; mmap is accepted and means nothing here."""
     raw = _read(spark, f"{path}/manifest.json")
     if raw is None:
         raise StoreError(f"no manifest in {path}")
@@ -139,6 +187,8 @@ def load(spark: SparkSession, path: str, analyzer=None, expect_fingerprint: str
         raise StoreError(f"format {m.get('format')} / {mode} is not known")
     if "/" in m["data"] or m["data"] in ("", ".", ".."):
         raise StoreError("the manifest names a folder elsewhere")
+    if check and mode == "segment" and (wrong := verify(spark, path)):
+        raise StoreError(f"damaged files: {', '.join(wrong)}")
     if expect_fingerprint and expect_fingerprint != stored:
         raise StoreError("the index was made with another analyzer than expected")
     out = Engine(spark, analyzer if analyzer is not None else m["analyzer"]["name"], multi_field=m["multi_field"], **options)

@@ -4,8 +4,11 @@ import pytest
 
 from findlark.engine import Engine, ReadOnlyError
 from findlark.operators import index as ix
+from findlark.operators.index import Index
 from findlark.operators.scoring import BM25, TFIDF, RankProfile
+from findlark.operators.stats import SearchStats
 from findlark.plans.ast import MUST, NOT, SHOULD, Boolean, FieldClause, Phrase, Prefix, QueryError, Term, must, must_not, should
+from findlark.sources import store
 
 
 def engine(spark, docs: dict, scorer=None, **options) -> Engine:
@@ -235,3 +238,34 @@ def test_kinds_and_diagnostics(spark):
     assert (d["strategy"], d["matched"], d["returned"]) == ("bool_fallback", 2, 1) and "or_fast_non_term_clause" in d["skip_reasons"]
     r = e.search_documents("foo bar", 1)
     assert r.total() == 2 and r.total(compat=True) == 1
+
+
+def test_statistics_see_results_and_errors(spark):
+    stats = SearchStats()
+    e = engine(spark, {"1": "alpha beta", "2": "alpha"}, stats=stats)
+    assert len(e.search_documents("alpha").rows()) == 2 and e.search_documents("gamma").rows() == []
+    with pytest.raises(QueryError):
+        e.search_documents('"open')
+    assert (stats.total, stats.errors, stats.zero) == (3, 1, 1)
+    assert stats.by["term"]["count"] == 2 and stats.by["term"]["returned"] == 2 and stats.by["term"]["seconds"] > 0
+    assert [x.returned for x in stats.recent()] == [0, 0, 2] and stats.recent()[0].error
+
+
+def test_segments_are_checked(spark, tmp_path):
+    e = engine(spark, {str(k): f"alpha beta{k % 7} gamma" for k in range(50)})
+    path = str(tmp_path / "s")
+    store.save_segment(e, path)
+    assert store.verify(spark, path) == [] and store.load(spark, path, check=True).sealed
+    part = next((tmp_path / "s").glob("*/postings/part-*"))
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    (part.parent / f".{part.name}.crc").unlink()  # the local file system's own
+    assert store.verify(spark, path) == [f"postings/{part.name}"]
+    with pytest.raises(store.StoreError, match="damaged"):
+        store.load(spark, path, check=True)
+    rows = [("f", "b", "1", 0), ("f", "a", "1", 0), ("f", "c", "1", 0), ("f", "c", "1", 0), ("f", "", "1", 0)]
+    wrong = spark.createDataFrame(rows, "field string, term string, doc_id string, ver long").coalesce(1)
+    assert store.faults(wrong) == {"empty": 1, "disorder": 2, "twice": 1}
+    twice = Index(e.index.postings.union(e.index.postings), e.index.doc_stats)
+    e.index = twice
+    with pytest.raises(store.StoreError, match="twice"):
+        store.save_segment(e, str(tmp_path / "t"))
