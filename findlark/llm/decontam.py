@@ -376,4 +376,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
+    return contaminated(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark")).drop("items")

@@ -303,7 +303,7 @@ SENT = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()
 
 def suffix_counts(pages: DataFrame, p: Params) -> DataFrame:
     """(x, n) of the keys that at least min_pages different contents of a host have; a host's own key has its number of different texts."""
-    shards = max(8, pages.count() // 8000)
+    shards = max(8, pages.count() // 2000)
 
     def run(batches):
         for b in common.chunks(batches, "html"):
