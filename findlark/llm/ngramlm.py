@@ -41,6 +41,7 @@ match of a key needs a collision.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -202,6 +203,14 @@ def _answer(t: pa.Table) -> pa.Table:
 REPLY = "split string, ord int, level int, shard int, n long, crc long, data binary, total long, kinds long"
 
 
+def in_training(train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return train
+
+
+def elsewhere(train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return rest
+
+
 def ordered(keys: np.ndarray) -> np.ndarray:
     """As argsort: their places are sorted along with their highest bits, and what these leave in disorder is put right."""
     n = len(keys)
@@ -238,8 +247,8 @@ class Replies:
                 for r in self.data.to_table(columns=["level", "shard", "n", "crc", "data"], filter=pads.field("ord") == ord_).to_pylist():
                     self.parts.setdefault(r["level"], []).append((r["shard"], r["n"], r["crc"], r["data"]))
 
-    def of(self, ord_: int, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many training and other places have each of the keys that were sent."""
+    def of(self, ord_: int, level: int, keys: np.ndarray, *wanted: Callable) -> list[np.ndarray]:
+        """What is wanted of how many training and other places have each of the keys that were sent."""
         self._read(ord_)
         order = ordered(keys)
         table = keys[order]
@@ -256,12 +265,12 @@ class Replies:
         if at != len(table):
             raise RuntimeError("a file split changed between the passes")
         out = []
-        for k in range(2):
-            v = np.concatenate([np.empty(0, np.int64), *(g[k * n : k * n + n] for g, (_, n, _, _) in zip(got, parts))])
+        for f in wanted:
+            v = np.concatenate([np.empty(0, np.int64), *(f(g[:n], g[n:]) for g, (_, n, _, _) in zip(got, parts))])
             own = np.empty(len(keys), np.int64)
             own[order] = v[group]
             out.append(own)
-        return out[0], out[1]
+        return out
 
 
 def _chunks(batches, bits: int):
@@ -290,15 +299,16 @@ class Short:
         if 1 in lengths:
             used, keys = t.words()
             of_word = np.zeros(len(t.h), np.int64)
-            of_word[used] = replies.of(ord_, 1, keys)[0]
+            of_word[used] = replies.of(ord_, 1, keys, in_training)[0]
             self.train[1] = of_word[t.ids]
         for n in lengths:
             if n > 1:
                 at = t.places(n)
                 self.train[n] = np.zeros(t.n, np.int64)
-                self.train[n][at], own = replies.of(ord_, n, t.key(n, at))
+                got = replies.of(ord_, n, t.key(n, at), in_training, *[elsewhere] * (n == 3))
+                self.train[n][at] = got[0]
         rest = np.zeros(t.n, np.int64)
-        rest[at] = own
+        rest[at] = got[1]
         self.run = runs(shared(t, self.train[3], rest))
 
     def asked(self, t: Tokens, n: int) -> np.ndarray:
@@ -329,12 +339,11 @@ class Level:
     def __init__(self, t: Tokens, short: Short, deep: Replies, ord_: int, n: int):
         self.n, self.next = n, next_window(n)
         asked = short.asked(t, n)
-        train, rest = deep.of(ord_, n, t.key(n, asked))
-        every = train + rest
+        train, every = deep.of(ord_, n, t.key(n, asked), in_training, np.add)
         wider = (t.before[asked] >= n) & (short.run[asked] >= n - 1)
         longer = np.ones(len(asked), np.int64)  # of the window and the token before it; its own occurrence at least
         at = asked[wider]
-        longer[wider] = np.add(*deep.of(ord_, n + 1, t.key(n + 1, at)))
+        longer[wider] = deep.of(ord_, n + 1, t.key(n + 1, at), np.add)[0]
         follow = np.ones(len(asked), np.int64)  # of the window and the token after it
         beside = np.flatnonzero(np.diff(asked) == 1)
         follow[beside] = longer[beside + 1]
@@ -384,7 +393,7 @@ def all_strings(t: Tokens, found: list[Level]) -> tuple[np.ndarray, np.ndarray]:
 def longest(t: Tokens, found: list[Level], strings: Replies, ord_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each place: the length of the longest context that another training place has (0 where it has fewer than 4 tokens), how many have it, and how many of them go on with the place's token."""
     length, context, both = (np.zeros(t.n, np.int64) for _ in range(3))
-    of = strings.of(ord_, SPANS, all_strings(t, found)[0])[0]
+    of = strings.of(ord_, SPANS, all_strings(t, found)[0], in_training)[0]
     base, before = 0, np.empty(0, np.int64)
     for x in found:
         n, reach = x.n, x.next - 1 - x.n
