@@ -63,7 +63,7 @@ class Pieces:
         for n, ids in by.items():
             h = self.hash(codes([pieces[i] for i in ids], n), 1)[n][:, 0]
             order = np.argsort(h)
-            self.tables[n] = (h[order], np.array(ids)[order])
+            self.tables[n] = (h[order], np.array(ids, np.int32)[order])
         self.longest = max(by, default=1)
 
     @staticmethod
@@ -85,12 +85,12 @@ class Pieces:
             none = self.size + (k > 1)
             if k not in self.tables:
                 if k == 1:
-                    out[k] = np.full(h.shape, none)
+                    out[k] = np.full(h.shape, none, np.int32)
                 continue
             keys, ids = self.tables[k]
             x = common.mix(h)
             at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-            out[k] = np.where(keys[at] == x, ids[at], none)
+            out[k] = np.where(keys[at] == x, ids[at], np.int32(none))
         return out
 
 
