@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import partial
 from itertools import combinations
 
 import duckdb
@@ -386,6 +387,21 @@ def test_components_rounds(spark):
     assert rows(simjoin.components(e, small=-1).where("fp <> comp")) == rows(simjoin.components(e).where("fp <> comp"))
 
 
+def test_rounds_give_what_the_driver_gives(spark, monkeypatch):
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(-30, 30)] + [(7, 7), (99, 99), (100, 101), (101, 100)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    e = spark.createDataFrame(edges, "u long, v long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(simjoin.components(e, small=-1))
+    assert got == rows(simjoin.components(e)) and (-30, -30) in got and (100, 100) in got and (99, 99) not in got
+    none = e.where("u = v")
+    assert rows(simjoin.components(none, small=-1)) == rows(simjoin.components(none)) == []
+    texts = families(3)
+    monkeypatch.setattr(simjoin, "components", partial(simjoin.components, small=-1))
+    got = simjoin.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["n_similar"], x["component_id"]) for x in got} == similar(texts)
+
+
 def test_one_of_each(spark):
     texts = families(5)
     want = similar(texts)
