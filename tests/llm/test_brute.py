@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from functools import partial
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -752,3 +753,14 @@ def test_lm_tells_by_a_distant_token(spark):
     texts = {i: f"p{k} q r a b c w{k}" for k, i in enumerate(train)} | {held[0]: "p7 q r a b c w7", held[1]: "p7 q r a b c w8"}
     got = lm_rows(spark, texts)
     assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
+
+
+def test_lm_sends_a_row_for_each_shard(spark):
+    """However many lengths are asked about: rows of a few keys each made the time grow faster than the input."""
+    base = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(base.glob("lm-*"))
+    lm_rows(spark, {k: prose(random.Random(k // 4), 900) for k in range(12)}, shards=2)
+    (own,) = set(base.glob("lm-*")) - before
+    for name in ("short", "deep", "spans"):
+        rows = spark.read.parquet(str(own / name)).where("split <> 'stats'").groupBy("split", "ord").count().collect()
+        assert rows and max(x["count"] for x in rows) <= 2, name
