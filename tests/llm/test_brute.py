@@ -764,3 +764,18 @@ def test_lm_sends_a_row_for_each_shard(spark):
     for name in ("short", "deep", "spans"):
         rows = spark.read.parquet(str(own / name)).where("split <> 'stats'").groupBy("split", "ord").count().collect()
         assert rows and max(x["count"] for x in rows) <= 2, name
+
+
+def test_lm_asks_for_strings_that_may_be_contexts(spark):
+    """Inside a long copy the shorter passages that other texts share with it are no longest contexts: it sends them, but doesn't ask for them (1,187 answers when it did, now 405)."""
+    r = random.Random(5)
+    long = [f"t{i}" for i in range(400)]
+    few = [" ".join(long[a : a + r.randint(10, 25)]) + f" u{a}" for a in range(0, 370, 5)]
+    texts = dict(enumerate([f"x{k} " + " ".join(long) for k in range(4)] + [f"y{k} {w}" for k, w in enumerate(few)]))
+    base = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(base.glob("lm-*"))
+    want, got = brute_lm(texts), lm_rows(spark, texts, shards=2)
+    assert all(x["score"] == pytest.approx(want[i][5], rel=1e-9) for i, x in got.items())
+    (own,) = set(base.glob("lm-*")) - before
+    rows = spark.read.parquet(str(own / "spans")).where("split <> 'stats'").collect()
+    assert 0 < sum(int(np.frombuffer(x["parts"], np.int64).reshape(-1, 3)[:, 1].sum()) for x in rows) < 800
