@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from findlark.engine import Engine, ReadOnlyError
 from findlark.operators import index as ix
@@ -269,3 +270,26 @@ def test_segments_are_checked(spark, tmp_path):
     e.index = twice
     with pytest.raises(store.StoreError, match="twice"):
         store.save_segment(e, str(tmp_path / "t"))
+
+
+def test_order_is_checked_by_file(spark, tmp_path):
+    """A task reads several files, the largest first: that is no disorder."""
+    schema, path = "field string, term string, doc_id string, ver long", str(tmp_path / "p")
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    row = lambda k: ("f", f"t{k:05d}", "1", 0)
+    write([row(k) for k in range(10)])
+    write([row(k) for k in range(10, 3000)])
+    read = lambda: spark.read.parquet(path).coalesce(1)
+    assert store.faults(read(), F.col("_metadata.file_name")) == {}
+    write([row(2999), row(3001)])
+    assert store.faults(read(), F.col("_metadata.file_name")) == {"twice": 1}
+    write([row(5), row(6)])
+    assert store.faults(read(), F.col("_metadata.file_name"))["disorder"] == 1
+
+
+def test_segment_of_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PART", 500)
+    e = engine(spark, {str(k): f"alpha beta{k % 97} gamma {'delta ' * (k % 3)}" for k in range(300)}, BM25())
+    store.save_segment(e, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").glob("*/postings/part-*"))) > 3
+    assert hits(store.load(spark, str(tmp_path / "s"), scorer=BM25()).search_documents("beta7 delta")) == hits(e.search_documents("beta7 delta"))
