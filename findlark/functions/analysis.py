@@ -32,7 +32,12 @@ def lower_text(s: str) -> str:
 
 
 def lower_column(c: Column) -> Column:
-    return F.lower(F.translate(c, "Σİ", "σi"))
+    return F.lower(F.replace(F.replace(c, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+
+
+def lower_letters(c: Column) -> Column:
+    """Lower case that leaves the runs of letters and digits as they were. Two capitals have a lower case but are no letters to the regular expressions of Java 17."""
+    return lower_column(F.replace(F.replace(c, F.lit("\ua7cb"), F.lit(" ")), F.lit("\ua7dc"), F.lit(" ")))
 
 
 def is_numeric(s: str) -> bool:
@@ -84,7 +89,7 @@ UNIQUE = Step("unique", F.array_distinct, lambda t: list(dict.fromkeys(t)))
 def min_length(n: int) -> Step:
     """Numbers, and tokens of n or more characters."""
     n = max(1, n)
-    return Step(f"min_length_{n}", lambda t: F.filter(t, lambda x: numeric_column(x) | (F.char_length(x) >= n)), lambda t: [x for x in t if is_numeric(x) or len(x) >= n])
+    return Step(f"min_length_{n}", lambda t: F.filter(t, lambda x: (F.char_length(x) >= n) | numeric_column(x)), lambda t: [x for x in t if is_numeric(x) or len(x) >= n])
 
 
 def min_bytes(n: int) -> Step:
@@ -92,8 +97,8 @@ def min_bytes(n: int) -> Step:
 
 
 def stop(words: frozenset[str], name: str) -> Step:
-    listed = sorted(words)
-    return Step(name, lambda t: F.filter(t, lambda x: numeric_column(x) | ~F.array_contains(F.array(*map(F.lit, listed)), x)), lambda t: [x for x in t if is_numeric(x) or x not in words])
+    listed = sorted(w for w in words if not is_numeric(w))
+    return Step(name, lambda t: F.filter(t, lambda x: ~x.isin(listed)), lambda t: [x for x in t if is_numeric(x) or x not in words])
 
 
 _LATIN, _CYRILLIC, _LETTER = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{L}")
@@ -107,20 +112,11 @@ def script(token: str) -> str:
     return "latin" if latin else "cyrillic" if cyrillic else "unknown"
 
 
-def script_column(c: Column) -> Column:
-    latin, cyrillic = c.rlike(r"\p{IsLatin}"), c.rlike(r"\p{IsCyrillic}")
-    return F.when(latin & cyrillic, "mixed").when(latin, "latin").when(cyrillic, "cyrillic").otherwise("unknown")
-
-
 def stop_multilingual() -> Step:
-    english, russian = sorted(stopwords.ENGLISH), sorted(stopwords.RUSSIAN)
-
-    def keep(x: Column) -> Column:
-        gone = F.when(script_column(x) == "latin", F.array_contains(F.array(*map(F.lit, english)), x)).when(script_column(x) == "cyrillic", F.array_contains(F.array(*map(F.lit, russian)), x)).otherwise(False)
-        return numeric_column(x) | ~gone
-
+    """Each list is for tokens of its own script alone, and no word of it is of another."""
     lists = {"latin": stopwords.ENGLISH, "cyrillic": stopwords.RUSSIAN}
-    return Step("stop_multilingual", lambda t: F.filter(t, keep), lambda t: [x for x in t if is_numeric(x) or x not in lists.get(script(x), ())])
+    listed = sorted(w for kind, words in lists.items() for w in words if script(w) == kind and not is_numeric(w))
+    return Step("stop_multilingual", lambda t: F.filter(t, lambda x: ~x.isin(listed)), lambda t: [x for x in t if is_numeric(x) or x not in lists.get(script(x), ())])
 
 
 def _stem_step(name: str, one: Callable[[str], str]) -> Step:
@@ -178,8 +174,11 @@ class Analyzer:
         return hashlib.sha256(f"{self.name}@{self.version}".encode()).hexdigest()
 
     def column(self, text: Column) -> Column:
+        filters = self.filters
+        if self.tokenizer is ALNUM_TOKENIZER and filters[:1] == (LOWERCASE,):  # letters stay letters: whole texts in lower case have the same tokens
+            text, filters = lower_letters(text), filters[1:]
         t = self.tokenizer.column(text)
-        for f in self.filters:
+        for f in filters:
             t = f.column(t)
         return t
 

@@ -63,3 +63,17 @@ def test_default_property(spark, texts):
 def test_clean(spark):
     rows = spark.createDataFrame([(" a\nb\x07<c>. ",)], "t string")
     assert rows.select(an.clean_text(F.col("t"))).first()[0] == "a bc."
+
+
+def test_lower_case_leaves_tokens_as_they_were(spark):
+    texts = [f"{c} A{c}B Σ{c} {c}Σ" for c in map(chr, [*range(1, 0x700), *range(0x1E00, 0x2200), *range(0x2C00, 0x2E00), *range(0xA640, 0xA800), *range(0x10400, 0x10500)])]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = F.transform(F.regexp_extract_all("t", F.lit(an.ALNUM), F.lit(0)), lambda x: F.lower(F.translate(x, "Σİ", "σi")))
+    assert rows.where(each != an.ANALYZERS["default"].column(F.col("t"))).count() == 0
+
+
+def test_stop_words_are_looked_up_in_a_set(spark):
+    rows = spark.createDataFrame([("the и abc the2 theи",)], "t string")
+    for name in ("english", "russian", "multilingual"):
+        df = rows.select(an.ANALYZERS[name].column(F.col("t")).alias("x"))
+        assert "array_contains" not in df._jdf.queryExecution().optimizedPlan().toString()
