@@ -89,6 +89,7 @@ class Engine:
         if self.index is None:
             make = lambda ddl: self.spark.createDataFrame([], ddl)
             self.index = Index(make(ix.POSTINGS), make(ix.DOC_STATS))
+        self.indexed = self.version  # the newest version that rows of the index may have
 
     # -- collection -----------------------------------------------------------------------------------------
 
@@ -112,15 +113,18 @@ class Engine:
         rows = rows.withColumn("ver", F.lit(self.version).cast("long"))
         tokens = ix.analyzed(rows, (self.analyzer, self.field_analyzers) if self.field_analyzers else self.analyzer)
         postings, doc_stats = ix.build(tokens, self.key_column)
+        asked = ix.asked(tokens, self.key_column)
         old = self.index
         if self.version == 0 and old.postings.isEmpty() and old.doc_stats.isEmpty():
-            new = Index(postings, doc_stats, old.tombstones, old.positional)
+            new = Index(postings, doc_stats, old.tombstones, old.positional, asked=asked)
+        elif self.version > self.indexed:  # no row has this version yet
+            new = Index(old.postings.unionByName(postings), old.doc_stats.unionByName(doc_stats), old.tombstones, old.positional, asked=(old.postings if old.asked is None else old.asked).unionByName(asked))
         else:  # indexing an id again adds to it; its length is replaced
             both = old.postings.unionByName(postings)
             both = both.groupBy("field", "term", "doc_id", "ver").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("dl").alias("dl"))
             stats = old.doc_stats.withColumn("o", F.lit(0)).unionByName(doc_stats.withColumn("o", F.lit(1))).groupBy("field", "doc_id", "ver").agg(F.max_by("dl", "o").alias("dl"))
             new = Index(both.select(postings.columns), stats.select(doc_stats.columns), old.tombstones, old.positional)
-        self.index = new
+        self.index, self.indexed = new, self.version
         if self.filter is not None:
             self._fill_filter(postings)
         return self
@@ -148,7 +152,7 @@ class Engine:
         ids = ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
         gone = self.index.live_stats().select("doc_id", "ver").distinct().join(ids, "doc_id", "left_semi").select("doc_id", "ver")
         old = self.index.tombstones
-        self.index = Index(self.index.postings, self.index.doc_stats, gone if old is None else old.unionByName(gone), self.index.positional)
+        self.index = Index(self.index.postings, self.index.doc_stats, gone if old is None else old.unionByName(gone), self.index.positional, asked=self.index.asked)
         return gone.count()
 
     def update(self, docs: DataFrame) -> None:
@@ -178,7 +182,7 @@ class Engine:
     def compact(self) -> "Engine":
         """Drops what deleted versions left behind."""
         i = self.index
-        self.index = Index(i.live_postings(F.lit(True)), i.live_stats(), None, i.positional)
+        self.index = Index(i.live_postings(), i.live_stats(), None, i.positional)
         return self
 
     def persist(self) -> "Engine":
@@ -254,7 +258,7 @@ class Engine:
 
         tokens = queries.select("query_id", F.posexplode(self.analyzer.column(F.coalesce(F.col("text"), F.lit("")))).alias("token", "term"))
         vocabulary = tokens.select("term").distinct()
-        live = self.index.live_postings(F.lit(True)).select("field", "term", "doc_id", "tf", "dl").join(vocabulary, "term", "left_semi")
+        live = self.index.live_postings().select("field", "term", "doc_id", "tf", "dl").join(vocabulary, "term", "left_semi")
         if self.scorer is not None:
             stored = self.index.terms
             df = live.groupBy("field", "term").agg(F.count("*").alias("df")) if stored is None else stored.select("field", "term", "df")

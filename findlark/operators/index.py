@@ -45,22 +45,78 @@ def analyzed(rows: DataFrame, analyzers: Callable[[str], Analyzer] | Analyzer, f
     return rows.withColumn("tokens", tokens)
 
 
+#: Tokens of neighbouring rows that are folded together.
+CHUNK = 1 << 18
+
+
+def _fold(batches):
+    """Postings of rows (doc_id, field, ver, dl, terms): terms has the index keys of each token. Each row on its own, its terms in order of appearance in the chunk."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    bits = lambda n: max(1, int(n).bit_length())
+    offsets = lambda a: np.asarray(a.offsets).astype(np.int64)
+
+    for b in batches:
+        lists = b.column(4)
+        if lists.null_count:
+            lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        at = offsets(lists)
+        place = None
+        inner = lists.values
+        if pa.types.is_list(inner.type):  # several keys a token, each at the token's place
+            if inner.null_count:
+                inner = pc.fill_null(inner, pa.scalar([], inner.type))
+            deep = offsets(inner)
+            token = np.repeat(np.arange(len(inner)), np.diff(deep))
+            place, at, inner = token - np.repeat(at[:-1], np.diff(deep[at])), deep[at] - deep[0], inner.values.slice(deep[0], deep[-1] - deep[0])
+        lo = 0
+        while lo < len(at) - 1:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
+            n = int(at[hi] - at[lo])
+            if n:
+                coded = inner.slice(at[lo], n).dictionary_encode()
+                codes, sizes = np.asarray(coded.indices.fill_null(len(coded.dictionary))).astype(np.int64), np.diff(at[lo : hi + 1])
+                row = np.repeat(np.arange(hi - lo), sizes)
+                pos = np.arange(n) - np.repeat(at[lo:hi] - at[lo], sizes) if place is None else place[at[lo] : at[hi]]
+                pb, cb = bits(pos.max()), bits(len(coded.dictionary))
+                order = np.sort((row << cb | codes) << pb | pos)  # at most 18 bits each, or one long row
+                key = order >> pb
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                where, tf = key[first] >> cb, np.diff(np.concatenate((first, [n])))
+                take = pa.array(where + lo)
+                term = coded.dictionary.take(pa.array(np.where((c := key[first] & ((1 << cb) - 1)) < len(coded.dictionary), c, 0), mask=c == len(coded.dictionary)))
+                positions = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [n])).astype(np.int32)), pa.array((order & ((1 << pb) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(1).take(take), term, b.column(0).take(take), b.column(2).take(take), pa.array(tf), positions, b.column(3).take(take)], names=["field", "term", "doc_id", "ver", "tf", "positions", "dl"])
+            lo = hi
+
+
+def asked(tokens: DataFrame, keys: Callable | None = None) -> DataFrame:
+    """Postings as well, for queries that select a few terms: conditions on field and term reach the tokens, and only what they leave is grouped."""
+    # Outer, as a filter on the number of tokens is inferred otherwise, and texts are analyzed twice.
+    each = tokens.select("field", "doc_id", "ver", F.size("tokens").cast("long").alias("dl"), F.posexplode_outer("tokens").alias("pos", "token")).where("pos is not null")
+    each = each.withColumnRenamed("token", "term") if keys is None else each.select("field", "doc_id", "ver", "dl", "pos", F.explode(keys(F.col("token"))).alias("term"))
+    return each.groupBy("field", "term", "doc_id", "ver").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl")).select("field", "term", "doc_id", "ver", "tf", "positions", "dl")
+
+
 def build(tokens: DataFrame, keys: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, doc_stats) of rows (doc_id, field, ver, tokens).
 
-    One shuffle: partial aggregation folds a document's tokens where they are
-    read, so what travels is the index itself. Rows that repeat a document's
-    field add up, as indexing twice does; the last length counts. keys: a
-    function from a token column to its array of index keys.
+    No shuffle where no document's field is there twice, which is looked up in
+    the ids alone: a row's tokens are folded where they are read. Rows that
+    repeat a document's field add up, as indexing twice does; the largest length
+    counts. keys: a function from a token column to its array of index keys.
     """
-    stats = tokens.groupBy("field", "doc_id", "ver").agg(F.max(F.size("tokens")).cast("long").alias("dl"))
-    each = tokens.select("field", "doc_id", "ver", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("pos", "token"))
-    if keys is not None:
-        each = each.select("field", "doc_id", "ver", "dl", "pos", F.explode(keys(F.col("token"))).alias("term"))
-    else:
-        each = each.withColumnRenamed("token", "term")
-    postings = each.groupBy("field", "term", "doc_id", "ver").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))
-    return postings.select("field", "term", "doc_id", "ver", "tf", "positions", "dl"), stats
+    size = F.size(F.coalesce("tokens", F.expr("cast(array() as array<string>)"))).cast("long")
+    terms = F.col("tokens") if keys is None else F.transform("tokens", keys)
+    postings = tokens.select("doc_id", "field", "ver", size.alias("dl"), terms.alias("terms")).mapInArrow(_fold, POSTINGS)
+    stats = tokens.select("field", "doc_id", "ver", size.alias("dl"))
+    own = ("field", "doc_id", "ver")
+    if not tokens.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        postings = postings.groupBy("field", "term", "doc_id", "ver").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("dl").alias("dl"))
+        stats = stats.groupBy(*own).agg(F.max("dl").alias("dl"))
+    return postings, stats
 
 
 @dataclass
@@ -71,13 +127,16 @@ class Index:
     positional: frozenset[str] | None = None  # fields with positions; None: all
     terms: DataFrame | None = None  # stored term_stats of an index that does not change
     kept_stats: DataFrame | None = None
+    asked: DataFrame | None = None  # the same postings, for conditions that leave a few of them
 
     def _live(self, df: DataFrame) -> DataFrame:
         return df if self.tombstones is None else df.join(self.tombstones, ["doc_id", "ver"], "left_anti")
 
-    def live_postings(self, where) -> DataFrame:
-        """The postings a query asks for; the condition reaches the scan, deleted versions go after it."""
-        return self._live(self.postings.where(where))
+    def live_postings(self, where=None) -> DataFrame:
+        """The postings a query asks for (None: all); the condition reaches the scan, deleted versions go after it."""
+        if where is None:
+            return self._live(self.postings)
+        return self._live((self.postings if self.asked is None else self.asked).where(where))
 
     def live_stats(self) -> DataFrame:
         return self._live(self.doc_stats)

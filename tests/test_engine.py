@@ -293,3 +293,41 @@ def test_segment_of_many_files(spark, tmp_path, monkeypatch):
     store.save_segment(e, str(tmp_path / "s"))
     assert len(list((tmp_path / "s").glob("*/postings/part-*"))) > 3
     assert hits(store.load(spark, str(tmp_path / "s"), scorer=BM25()).search_documents("beta7 delta")) == hits(e.search_documents("beta7 delta"))
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexing_has_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ix, "CHUNK", 40)
+    r = random.Random(3)
+    docs = {f"d{i}": " ".join(r.choice("abcdefg") * r.randint(1, 2) for _ in range(r.choice([0, 1, 5, 30, 90]))) for i in range(60)}
+    e = engine(spark, docs)
+    assert "Exchange" not in plan(e.index.postings) and "Exchange" not in plan(e.index.doc_stats)
+    want = {(w, i): [k for k, x in enumerate(t.split()) if x == w] for i, t in docs.items() for w in set(t.split())}
+    got = e.index.postings.collect()
+    assert {(x["term"], x["doc_id"]): x["positions"] for x in got} == want and len(got) == len(want)
+    assert all(x["tf"] == len(x["positions"]) and x["dl"] == len(docs[x["doc_id"]].split()) for x in got)
+    assert {x["doc_id"]: x["dl"] for x in e.index.doc_stats.collect()} == {i: len(t.split()) for i, t in docs.items()}
+    e.update(spark.createDataFrame([("d1", "zz"), ("d2", "zz yy zz")], "doc_id string, text string"))
+    assert "Exchange" not in plan(e.index.postings) and hits(e.search_plain_text("zz")) == [("d2", 1, 2), ("d1", 1, 1)]
+
+
+def test_repeated_rows_add_up(spark):
+    rows = [("1", "f", "a b"), ("1", "f", "b a a"), ("1", "g", "a"), ("2", "f", None), (None, "f", "a")]
+    e = Engine(spark).index_documents(spark.createDataFrame(rows, "doc_id string, field string, value string"), check=False)
+    got = {(x["field"], x["term"], x["doc_id"]): (x["tf"], x["positions"], x["dl"]) for x in e.index.postings.collect()}
+    assert got == {("f", "a", "1"): (3, [0, 1, 2], 3), ("f", "b", "1"): (2, [0, 1], 3), ("g", "a", "1"): (1, [0], 1), ("f", "a", None): (1, [0], 1)}
+    assert {(x["field"], x["doc_id"]): x["dl"] for x in e.index.doc_stats.collect()} == {("f", "1"): 3, ("g", "1"): 1, ("f", "2"): 0, ("f", None): 1}
+
+
+def test_selected_terms_reach_the_tokens(spark):
+    e = engine(spark, {"1": "a b a", "2": "", "3": "b c"}, BM25())
+    shown = e.index.live_postings(F.col("term").isin("a", "c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("regexp_extract_all") == 1 and shown.index("Aggregate") < shown.index("Filter") < shown.index("Generate")
+    e.delete(["3"])
+    e.update(spark.createDataFrame([("2", "a a")], "doc_id string, text string"))
+    want = e.index.live_postings().where("term = 'a'")
+    got = e.index.live_postings(F.col("term") == "a")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 2
