@@ -72,10 +72,40 @@ def workload_terms(term_stats: DataFrame, n_docs: int, n: int, low: float = 0.00
     return rows.orderBy(F.md5("term"), "term").limit(n)
 
 
+def _pairs(batches):
+    """(phrase, df): neighbouring tokens of rows of tokens, once a row, summed up over rows that are read together."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        lists = b.column(0)
+        lists = lists.filter(lists.is_valid())
+        at, words = np.asarray(lists.offsets).astype(np.int64), lists.values
+        lo = 0
+        while lo < len(at) - 1:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAIRS, "right")) - 1)
+            n = int(at[hi] - at[lo])
+            if n > 1:
+                coded = words.slice(at[lo], n).dictionary_encode()
+                code, size = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+                row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+                both = row[1:] == row[:-1]
+                pair, row = (code[:-1] * size + code[1:])[both], row[1:][both]
+                kept, place = np.unique(pair, return_inverse=True)
+                rows = np.unique(place.astype(np.int64) * (hi - lo) + row) // (hi - lo)
+                first, second = (coded.dictionary.take(pa.array(x)) for x in (kept // size, kept % size))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(first, second, " "), pa.array(np.bincount(rows, minlength=len(kept)).astype(np.int64))], names=["phrase", "df"])
+            lo = hi
+
+
+#: Tokens of neighbouring rows whose pairs are summed up together.
+PAIRS = 1 << 20
+
+
 def workload_bigrams(tokens: DataFrame, n: int, least: int = 2) -> DataFrame:
     """(phrase, df): n neighbouring token pairs of tokens(doc_id, tokens) that at least ``least`` documents have."""
-    pairs = F.array_distinct(F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    rows = tokens.select(F.explode(pairs).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    rows = tokens.select("tokens").mapInArrow(_pairs, "phrase string, df long").groupBy("phrase").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
     return rows.orderBy(F.md5("phrase"), "phrase").limit(n)
 
 

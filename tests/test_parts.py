@@ -130,3 +130,17 @@ def test_workload_bounds_are_those_of_sql(spark):
     for n in (2500, 3499, 3500, 4600, 40):
         low, high = duckdb.connect().execute(f"select greatest(2, (0.001 * n)::int), greatest(2, floor(0.1 * n)::int) from (select {n}::bigint as n)").fetchall()[0]
         assert {r["df"] for r in ev.workload_terms(stats, n, 100).collect()} == {k for k in range(1, 9) if low <= k <= high}
+
+
+def test_bigrams(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ev, "PAIRS", 50)
+    r = random.Random(1)
+    docs = [[r.choice("abcd") for _ in range(r.choice([0, 1, 2, 9, 70]))] for _ in range(80)]
+    want = {}
+    for d in docs:
+        for p in {f"{a} {b}" for a, b in zip(d, d[1:])}:
+            want[p] = want.get(p, 0) + 1
+    got = ev.workload_bigrams(spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(99, None)], "doc_id int, tokens array<string>"), 100, 3)
+    assert {x["phrase"]: x["df"] for x in got.collect()} == {p: n for p, n in want.items() if n >= 3}
