@@ -144,3 +144,13 @@ def test_bigrams(spark, monkeypatch):
             want[p] = want.get(p, 0) + 1
     got = ev.workload_bigrams(spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(99, None)], "doc_id int, tokens array<string>"), 100, 3)
     assert {x["phrase"]: x["df"] for x in got.collect()} == {p: n for p, n in want.items() if n >= 3}
+
+
+def test_exact_answers_send_only_what_is_asked(spark):
+    rows = [("f", "a", "1"), ("g", "a", "1"), ("f", "b", "1"), ("f", "a", "2"), ("f", "c", "3")]
+    postings = spark.createDataFrame(rows, "field string, term string, doc_id string")
+    q = spark.createDataFrame([("x", "and", ["a", "b"]), ("y", "or", ["b", "c", "c"])], "query_id string, kind string, terms array<string>")
+    got = ev.exact_answers(postings, q)
+    assert sorted((r["query_id"], r["doc_id"], r["grade"]) for r in got.collect()) == [("x", "1", 1), ("y", "1", 1), ("y", "3", 1)]
+    shown = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in shown[shown.index("Join") :].split("Generate")[0]
