@@ -122,6 +122,18 @@ def test_cached_workload(spark, tmp_path):
     assert [ev.cached(spark, str(tmp_path), "v1", make).count() for _ in range(2)] == [3, 3] and len(calls) == 1
 
 
+@pytest.mark.parametrize("kind", ["cuckoo", "ribbon"])
+def test_sharded_filter(spark, monkeypatch, kind):
+    monkeypatch.setattr(fl, "SHARD", 500)
+    f = fl.sharded(kind, spark.range(5000).selectExpr("concat('k', id) k").repartition(7), 5000)
+    back = fl.load_filter(f.serialize())
+    assert len(f.parts) == 10 and all(f.contains(f"k{i}") and back.contains(f"k{i}") for i in range(5000))
+    assert sum(back.contains(f"other{i}") for i in range(3000)) < 90
+    assert not any(hasattr(p, "keys") for p in f.parts)  # what is shipped has no keys in it
+    none = fl.sharded(kind, spark.createDataFrame([], "k string"), 0)
+    assert not none.contains("k") and not fl.load_filter(none.serialize()).contains("k")
+
+
 def test_workload_bounds_are_those_of_sql(spark):
     import duckdb
 
