@@ -331,3 +331,16 @@ def test_selected_terms_reach_the_tokens(spark):
     want = e.index.live_postings().where("term = 'a'")
     got = e.index.live_postings(F.col("term") == "a")
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 2
+
+
+def test_batch_counts_tokens_once(spark, tmp_path):
+    """Each token of a query meets a document once, whatever its fields: no distinct count has to travel."""
+    e = engine(spark, {"1": {"t": "a b", "u": "a a"}, "2": {"u": "b"}}, BM25(), score_digits=6)
+    q = spark.createDataFrame([(1, "a b a"), (2, "b")], "query_id int, text string")
+    got = e.search_many(q, 5)
+    assert "distinct" not in plan(got)
+    assert sorted((r["query_id"], r["doc_id"], r["unique_matches"], r["total_matches"]) for r in got.collect()) == [(1, "1", 3, 7), (1, "2", 1, 1), (2, "1", 1, 1), (2, "2", 1, 1)]
+    one = engine(spark, {"1": "a b", "2": "a a"}, BM25(), score_digits=6)
+    store.save_segment(one, str(tmp_path / "s"))
+    sealed = store.load(spark, str(tmp_path / "s"), scorer=BM25(), score_digits=6)
+    assert sealed.index.one_field and sorted(map(tuple, sealed.search_many(q, 5).collect())) == sorted(map(tuple, one.search_many(q, 5).collect()))
